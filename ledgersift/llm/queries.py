@@ -56,3 +56,4 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
+SQL: dict[str, str] = {}

@@ -64,8 +64,9 @@ def _span_hashes(chars: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     base = np.uint64(0x9E3779B97F4A7C15)
     powers = np.cumprod(np.full(n, base, np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(chars.astype(np.uint64) + np.uint64(7)) * powers, dtype=np.uint64)))
-    # bring the difference of two sums to a common power instead of dividing: multiply by base ** (n - i)
-    return _mix((sums[at + length] - sums[at]) * powers[n - 1 - at])
+    # the base is odd, so it has an inverse: equal spans get equal hashes wherever they stand
+    inverse = np.cumprod(np.full(n, pow(int(base), -1, 1 << 64), np.uint64))
+    return _mix((sums[at + length] - sums[at]) * inverse[at])
 
 
 def _emit(core: int, width: int):
