@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import components, leakage, packing, spans
+from ledgersift.llm import components, leakage, mapping, packing, spans
 from ledgersift.session import table, written
 
 SPAN, CORE = 300, 230
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = table(spark, folder, "invoices").select(F.lit("invoices").alias("record_source"), F.col("line_item_id").alias("record_key"), F.col("line_item_description").alias("value"))
+    classified = table(spark, folder, "item_classifications").select(F.lit("item_classifications").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("category").alias("value"))
+    return mapping.map_items(typed, table(spark, folder, "item_list")).unionAll(mapping.map_categories(classified, table(spark, folder, "category_list")))
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """How many keys of each source have an entry, and how many have none."""
+    return p5_found(spark, folder).groupBy("record_source").agg(F.count_if(F.col("entry_id") >= 0).alias("matched"), F.count_if(F.col("entry_id") < 0).alias("unmatched"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     links = components.current_links(table(spark, folder, "vendor_matches"))
     return components.contract_components(links).select(F.col("id").alias("vendor_id"), "group_id")
@@ -55,5 +66,5 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
