@@ -103,11 +103,12 @@ class Matcher:
     def near(self, token: str) -> dict[str, float]:
         """Entry tokens, and words written together, that a token may stand for; the latter only if nothing else fits."""
         found = self.vocabulary.near(token)
-        if not found and len(token) > 4 and token.endswith("s"):
-            found = self.vocabulary.near(token[:-1])
         if alias := self.words.get(token):
             found = self.vocabulary.near(alias) | {w: s for w, s in found.items() if w == token}
-        return {w: s for w, s in found.items() if w in self.idf} or {w: s for w, s in found.items() if len(token) >= max(4, 0.35 * len(w))}
+        single = {w: s for w, s in found.items() if w in self.idf}
+        if not single and len(token) > 3 and token.endswith("s"):
+            single = {w: s for w, s in self.vocabulary.near(token[:-1]).items() if w in self.idf}
+        return single or {w: s for w, s in found.items() if len(token) >= max(4, 0.35 * len(w))}
 
     def repaired(self, typed: list[str]) -> list[tuple[float, dict[str, float]]]:
         """For each typed token its weight if it stays unmatched, and the entry tokens it may stand for."""
