@@ -7,10 +7,13 @@ import os
 import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, weakref.ref] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "ledgersift", cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,6 +31,20 @@ def build_session(app: str = "ledgersift", cpus: int | str = "*", partitions: in
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of all executors, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp()) / "ledgersift.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or on a local master one of our own.
 
