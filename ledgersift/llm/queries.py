@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import components, leakage, mapping, packing, spans
+from ledgersift.llm import components, leakage, mapping, names, packing, spans
 from ledgersift.session import table, written
 
 SPAN, CORE = 300, 230
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = table(spark, folder, "invoices").where("vendor_id is null and invoice_id is not null").select("invoice_id", F.col("vendor_name").alias("name")).distinct()
+    typed = written(typed, "typed")
+    means = names.resolve_names(typed, table(spark, folder, "vendors"), table(spark, folder, "vendor_aliases"))
+    return typed.join(means, "name").select("invoice_id", "vendor_id").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = table(spark, folder, "invoices").select(F.lit("invoices").alias("record_source"), F.col("line_item_id").alias("record_key"), F.col("line_item_description").alias("value"))
     classified = table(spark, folder, "item_classifications").select(F.lit("item_classifications").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("category").alias("value"))
@@ -66,5 +73,5 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
