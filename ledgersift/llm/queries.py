@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import components, leakage, mapping, names, packing, spans
+from ledgersift.llm import addresses, components, leakage, mapping, names, packing, spans
 from ledgersift.session import table, written
 
 SPAN, CORE = 300, 230
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of an invoice and a vendor, or of two vendors, at one place; the vendors' addresses are the anchors."""
+    vendors = table(spark, folder, "vendors").select(F.col("vendor_id").alias("record"), "address")
+    invoices = table(spark, folder, "invoices").select(F.col("invoice_id").alias("record"), F.col("vendor_address").alias("address"))
+    found = addresses.match_addresses(invoices.unionAll(vendors).distinct(), vendors)
+    return found.where("anchor <> record").select(F.least("anchor", "record").alias("record_a"), F.greatest("anchor", "record").alias("record_b")).distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = table(spark, folder, "invoices").where("vendor_id is null and invoice_id is not null").select("invoice_id", F.col("vendor_name").alias("name")).distinct()
     typed = written(typed, "typed")
@@ -73,5 +81,5 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
