@@ -7,12 +7,12 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
 from ledgersift.llm.strings import fold, osa
-from ledgersift.session import discard, written
+from ledgersift.session import written
 
 # Types of streets and their short forms.
 STREET_TYPES = {
@@ -307,29 +307,45 @@ def _verify(idf: dict[str, float], rare: float, least: float):
     return run
 
 
-def _ambiguous(batches):
-    """Of (form, anchors): the anchors of forms that fit anchors of one place only."""
-    schema = pa.schema([("anchor", pa.string()), ("form", pa.string())])
+def _contradicts(batches):
+    """(anchor, n): how many records have a form that fits the anchor, but stands at another place than its usual form."""
+    schema = pa.schema([("anchor", pa.string()), ("n", pa.int64())])
+    for x in batches:
+        anchors, counts = [], []
+        for anchor, form, n, usual in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            p, q = Place(*form.split("|")), Place(*usual.split("|"))
+            if any(u and v and u != v for u, v in ((p.direction, q.direction), (p.kind, q.kind), (p.unit, q.unit))) or p.city and q.city and not _near_city(p.city, q.city):
+                anchors.append(anchor)
+                counts.append(n)
+        if anchors:
+            yield batch({"anchor": anchors, "n": counts}, schema)
+
+
+def _one_place(batches):
+    """Of (form, usual forms it fits): those of forms that fit one place only."""
+    schema = pa.schema([("usual", pa.string()), ("form", pa.string())])
     for x in batches:
         rows = []
-        for form, anchors in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            places = [Place(*a.split("|")) for a in anchors]
-            for i, a in enumerate(anchors):
-                if all(i == j or same_place(places[i], q) for j, q in enumerate(places)):
-                    rows.append((a, form))
+        for form, usual in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+            places = [Place(*a.split("|")) for a in usual]
+            if all(same_place(places[0], q) for q in places[1:]) or form in usual:
+                rows += [(a, form) for i, a in enumerate(usual) if form not in usual or same_place(places[i], Place(*form.split("|")))]
         if rows:
             yield batch(dict(zip(schema.names, zip(*rows), strict=True)), schema)
 
 
-def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.3) -> DataFrame:
+def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.25) -> DataFrame:
     """(anchor, record): which records (record, address) stand at the place of which anchors (record, address).
 
     Addresses are parsed into parts, and each distinct set of parts, a form, is handled once. A form is a vector of the character
-    3-grams of its street and city, weighted by their rarity among all forms. The heaviest grams of each anchor form, together with
-    its house or box number, make an inverted index; the heaviest of each record form are looked up in it. The prefix leaves
+    3-grams of its street and city, weighted by their rarity among all forms. The heaviest grams of the indexed forms, together
+    with their house or box number, make an inverted index; the heaviest of each form are looked up in it. The prefix leaves
     out only what cannot reach the cosine `least` by itself. Candidates are verified by cosine, equal house or box number and
-    parts that do not contradict each other. A form that fits anchors of two places, because the part that tells them apart
-    is left out, stands at neither.
+    parts that do not contradict each other.
+
+    Anchors are indexed twice: first as they are written, then in the form most records at their place have, as an anchor with
+    slips or parts left out is a poor measure. An anchor whose fitting records are split between places, with less than twice as many at
+    its usual form as at another, is ambiguous and has no row; so has a form that fits the usual forms of two places.
 
     Null, blank and unreadable addresses (no house number with a street, no box) and null records have no row; a record with several
     addresses stands at each; repeated rows count once; other columns are ignored; empty tables give an empty result.
@@ -338,17 +354,29 @@ def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.3)
     parsed = written(records.select("address").unionAll(anchors.select("address")).where("trim(address) <> ''").distinct().mapInArrow(_parse_batches, f"address string, {_FORM}"), "addresses")
     at = lambda df: df.where("record is not null").join(parsed.select("address", "form"), "address").select("record", "form").distinct()
     of_record, of_anchor = written(at(records), "record-forms"), written(at(anchors), "anchor-forms")
-    forms = parsed.select("form", *Place._fields).distinct()
-    counts = {r.gram: r.n for r in forms.mapInArrow(_count_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
-    total = max(counts.values(), default=1)
-    idf = {g: math.log(1 + total / n) for g, n in counts.items()}
-    rare = math.log(1 + total)
-    anchor_forms = of_anchor.select("form").distinct()
-    index = forms.join(anchor_forms, "form", "left_semi").mapInArrow(_prefixes(idf, rare, least), "key string, form string").withColumnRenamed("form", "anchor")
-    probe = forms.mapInArrow(_prefixes(idf, rare, least), "key string, form string")
-    candidates = probe.join(index, "key").select("anchor", "form").distinct()
-    fits = candidates.mapInArrow(_verify(idf, rare, least), "anchor string, form string")
-    sure = fits.groupBy("form").agg(F.collect_set("anchor").alias("anchors")).mapInArrow(_ambiguous, "anchor string, form string")
-    sure = written(sure, "places")
-    pairs = sure.join(of_anchor.select(F.col("record").alias("anchor_record"), F.col("form").alias("anchor")), "anchor").join(of_record, "form")
-    return pairs.select(F.col("anchor_record").alias("anchor"), "record").distinct()
+    used = of_record.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    forms = written(parsed.select("form", *Place._fields).distinct().join(used, "form", "left"), "forms")
+    plain = forms.drop("n")
+    counts = {r.gram: r.n for r in plain.mapInArrow(_count_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
+    total = sum(counts.values())
+    # a gram that slips made is the rarest of all: below one in a thousand, rarity says nothing more
+    idf = {g: math.log(1 + total / (n + total / 1000)) for g, n in counts.items()}
+    rare = math.log(1001)
+    probe = plain.mapInArrow(_prefixes(idf, rare, least), "key string, form string")
+
+    def fitting(indexed: DataFrame) -> DataFrame:
+        index = plain.join(indexed, "form", "left_semi").mapInArrow(_prefixes(idf, rare, least), "key string, form string").withColumnRenamed("form", "anchor")
+        return probe.join(index, "key").select("anchor", "form").distinct().mapInArrow(_verify(idf, rare, least), "anchor string, form string")
+
+    fits = written(fitting(of_anchor.select("form").distinct()).join(forms, "form").select("anchor", "form", F.coalesce("n", F.lit(0)).alias("n"), *Place._fields), "fits")
+    filled = lambda names: sum((F.col(c) != "").cast("int") for c in names)
+    order = F.struct(F.greatest("n", F.lit(1)).alias("n"), filled(["kind", "city", "zip"]).alias("main"), (F.col("form") == F.col("anchor")).alias("own"), filled(Place._fields).alias("parts"), "form")
+    usual = fits.groupBy("anchor").agg(F.max(order).alias("top")).select("anchor", F.col("top.form").alias("usual"), F.col("top.n").alias("usual_n"))
+    against = fits.join(usual, "anchor").select("anchor", "form", "n", "usual").mapInArrow(_contradicts, "anchor string, n bigint").groupBy("anchor").agg(F.max("n").alias("against"))
+    usual = written(usual.join(against, "anchor", "left").where("against is null or usual_n >= 2 * against").select("anchor", "usual"), "usual")
+    sure = fitting(usual.select(F.col("usual").alias("form")).distinct()).groupBy("form").agg(F.collect_set("anchor").alias("usual")).mapInArrow(_one_place, "usual string, form string")
+    anchored = written(of_anchor.withColumnRenamed("form", "anchor").join(usual, "anchor").select("record", "usual"), "anchored")
+    # an anchor stands where its usual form does, not where its own letters may also fit
+    standing = of_record.join(of_anchor.select("record").distinct(), "record", "left_anti").unionAll(anchored.withColumnRenamed("usual", "form"))
+    pairs = anchored.withColumnRenamed("record", "anchor").join(sure, "usual").join(standing, "form")
+    return pairs.select("anchor", "record").distinct()
