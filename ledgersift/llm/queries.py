@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import addresses, components, leakage, mapping, names, packing, spans
+from ledgersift.llm import addresses, components, leakage, mapping, names, near_duplicates, packing, spans
 from ledgersift.session import table, written
 
 SPAN, CORE = 300, 230
@@ -26,6 +26,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return typed.join(means, "name").select("invoice_id", "vendor_id").distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = near_duplicates.entered_again(near_duplicates.invoice_records(table(spark, folder, "invoices")))
+    pairs = near_duplicates.duplicate_pairs(members, links)
+    return pairs.select(F.col("id_a").alias("invoice_id_a"), F.col("id_b").alias("invoice_id_b"))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every invoice with a number and an amount, the class of its exact copies and how many classes are linked to it."""
+    members, links = near_duplicates.entered_again(near_duplicates.invoice_records(table(spark, folder, "invoices")))
+    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("links"))
+    return members.join(degree, "class", "left").select(F.col("id").alias("invoice_id"), F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = table(spark, folder, "invoices").select(F.lit("invoices").alias("record_source"), F.col("line_item_id").alias("record_key"), F.col("line_item_description").alias("value"))
     classified = table(spark, folder, "item_classifications").select(F.lit("item_classifications").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("category").alias("value"))
@@ -81,5 +94,5 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
