@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch, pieces
@@ -149,9 +149,8 @@ def _bands(permutations: int):
         schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("number", pa.string()), ("vendor", pa.int32()), ("cents", pa.int64())])
         for x in batches:
             classes, numbers, vendors, all_cents, lines = (c.to_pylist() for c in x.columns)
-            fresh = list({k: i for i, k in enumerate(classes)}.values())  # copies in one batch are hashed once
-            for first, end in pieces([sum(map(len, lines[i])) + 1 for i in fresh], 2_000_000):
-                part = fresh[first:end]
+            for first, end in pieces([sum(map(len, t)) + 1 for t in lines], 2_000_000):
+                part = range(first, end)
                 n_least, n_most = min_max([f"^{numbers[i]}$" for i in part], 2, permutations, 1)
                 d_least, d_most = min_max(["\n".join(lines[i]) for i in part], 3, permutations, 2)
                 # a band takes one value of the number and one of the lines
@@ -214,13 +213,13 @@ def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple
     name, and an unknown name may be any.
     Null ids are left out, repeated rows count once, other columns are ignored, empty tables give empty results.
     """
-    described = written(
-        records.where("id is not null and cents is not null and trim(number) <> ''").select("id", "number", "vendor", "name", "cents", "lines").mapInArrow(_describe, "id string, class bigint, number string, vendor string, name string, cents bigint, lines array<string>"),
-        "records",
-    )
-    rows = described.select("class", "number", F.coalesce(F.hash("vendor"), F.lit(0)).alias("vendor"), "cents", "lines")
-    rows = rows.withColumn("vendor", F.when(F.col("vendor") == F.hash(F.lit(None).cast("string")), 0).otherwise(F.col("vendor")))
-    bands = rows.mapInArrow(_bands(permutations), "key bigint, class bigint, number string, vendor int, cents bigint").repartition("key").dropDuplicates(["key", "class"])
+    given = records.where("id is not null and cents is not null and trim(number) <> ''").select("id", "number", "vendor", "name", "cents", "lines")
+    described = given.mapInArrow(_describe, "id string, class bigint, number string, vendor string, name string, cents bigint, lines array<string>")
+    by_class = Window.partitionBy("class").orderBy("id")
+    described = written(described.withColumn("first", F.row_number().over(by_class) == 1), "records")
+    vendor = F.when(F.col("vendor").isNull(), 0).otherwise(F.hash("vendor"))
+    rows = described.where("first").select("class", "number", vendor.alias("vendor"), "cents", "lines")
+    bands = rows.mapInArrow(_bands(permutations), "key bigint, class bigint, number string, vendor int, cents bigint")
     one, two = (bands.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "number", "vendor", "cents")]) for s in "ab")
     near = (
         (F.col("class_a") < F.col("class_b"))
@@ -228,9 +227,9 @@ def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple
         & (F.abs(F.col("cents_a") - F.col("cents_b")) <= F.greatest(F.abs("cents_a"), F.abs("cents_b")) * TOLERANCE)
         & (F.levenshtein("number_a", "number_b", 2 * SLIPS) >= 0)  # a swap counts as two edits there
     )
-    candidates = written(one.join(two, "key").where(near).select("class_a", "class_b").distinct(), "candidates")
+    candidates = written(one.hint("shuffle_hash").join(two, "key").where(near).select("class_a", "class_b").distinct(), "candidates")
     involved = written(candidates.select(F.col("class_a").alias("class")).unionAll(candidates.select("class_b")).distinct(), "involved")
-    full = written(described.join(involved, "class").groupBy("class").agg(F.min(F.struct("id", "number", "vendor", "name", "cents", "lines")).alias("r")).select("class", "r.number", "r.vendor", "r.name", "r.cents", "r.lines"), "full")
+    full = written(described.where("first").join(involved, "class").select("class", "number", "vendor", "name", "cents", "lines"), "full")
     parts = ["number", "vendor", "name", "cents", "lines"]
     a, b = (full.select(F.col("class").alias(f"class_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in parts]) for s in "ab")
     pairs = candidates.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", *[f"{c}_{s}" for c in parts for s in "ab"])
