@@ -134,14 +134,15 @@ def _describe(batches):
             yield batch(dict(zip(schema.names, zip(*rows), strict=True)), schema)
 
 
-def _buckets(cents: int) -> list[int]:
-    """The amount buckets of an amount: two amounts that agree share one."""
-    if cents == 0:
-        return [0]
-    at = math.log(abs(cents)) / -math.log(1 - TOLERANCE)
-    b = math.floor(at / WIDTH)
-    found = [b] if at - b * WIDTH < WIDTH - 1.001 else [b, b + 1]
-    return [2 * x + (cents > 0) + 2 for x in found]
+def _buckets(cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(record, bucket) rows: the amount buckets of each amount, such that two amounts that agree share one."""
+    size = np.abs(cents)
+    at = np.log(np.maximum(size, 1)) / -math.log(1 - TOLERANCE)
+    first = np.floor(at / WIDTH).astype(np.int64)
+    twice = np.flatnonzero((at - first * WIDTH >= WIDTH - 1.001) & (size > 0))
+    record = np.concatenate((np.arange(len(cents)), twice))
+    bucket = np.concatenate((first, first[twice] + 1))
+    return record, np.where(size[record] == 0, 0, 2 * bucket + (cents[record] > 0) + 2)
 
 
 def _bands(permutations: int):
@@ -157,16 +158,12 @@ def _bands(permutations: int):
                 keys = [_mix(n * np.uint64(31) + _mix(d + np.uint64(2 * p + top))) for top, (ns, ds) in enumerate(((n_least, d_least), (n_most, d_most))) for p, (n, d) in enumerate(zip(ns, ds, strict=True))]
                 # a record without lines is near one with a single line: their numbers alone must do
                 few = [_mix(n + np.uint64(977 + k)) for k, n in enumerate((*n_least[:3], *n_most[:3]))]
-                out = []
-                for j, i in enumerate(part):
-                    out.append([int(k[j]) for k in keys] + [int(k[j]) for k in few if len(lines[i]) < 2])
-                rows_at, rows_key = [], []
-                for j, i in enumerate(part):
-                    for b in _buckets(all_cents[i]):
-                        rows_at += [i] * len(out[j])
-                        rows_key += [(k ^ (b * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF for k in out[j]]
-                at = pa.array(rows_at, pa.int64())
-                yield batch({"key": np.array(rows_key, np.uint64).view(np.int64), "class": x.column(0).take(at), "number": x.column(1).take(at), "vendor": x.column(2).take(at), "cents": x.column(3).take(at)}, schema)
+                record, bucket = _buckets(np.array(all_cents[first:end], np.int64))
+                salt = _mix(bucket.astype(np.uint64) + np.uint64(11))
+                single = np.flatnonzero(np.array([len(lines[i]) < 2 for i in part])[record])
+                rows = [(k[record] ^ salt, record) for k in keys] + [(k[record[single]] ^ salt[single], record[single]) for k in few]
+                at = pa.array(np.concatenate([r for _, r in rows]) + first)
+                yield batch({"key": np.concatenate([k for k, _ in rows]).view(np.int64), "class": x.column(0).take(at), "number": x.column(1).take(at), "vendor": x.column(2).take(at), "cents": x.column(3).take(at)}, schema)
 
     return run
 
