@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
-from ledgersift.llm.strings import fold, osa
+from ledgersift.llm.strings import deletions, fold, osa
 from ledgersift.session import written
 
 # Types of streets and their short forms.
@@ -62,6 +62,27 @@ class Place(NamedTuple):
     street_city: str
 
 
+def _by_deletion(names) -> dict[str, list[str]]:
+    index: dict[str, list[str]] = {}
+    for n in names:
+        for d in deletions(n, 1):
+            index.setdefault(d, []).append(n)
+    return index
+
+
+_STATE_SLIPS = _by_deletion(n for n in _LONG_STATE if len(n) > 5)
+_TYPE_SLIPS = _by_deletion(n for n in STREET_TYPES if len(n) > 3)
+
+
+def _misspelt(word: str, index: dict[str, list[str]]) -> str:
+    """The name of the index within one edit of word, or an empty string."""
+    for d in deletions(word, 1):
+        for n in index.get(d, ()):
+            if osa(word, n, 1) <= 1:
+                return n
+    return ""
+
+
 def _state_at(words: list[str], end: int) -> tuple[str, int]:
     """(code, first word) of a state whose last word is words[end - 1]; code is empty if there is none."""
     for n in (3, 2, 1):
@@ -71,10 +92,8 @@ def _state_at(words: list[str], end: int) -> tuple[str, int]:
                 return _STATE[name], end - n
     if words[end - 1] in STATES:
         return words[end - 1], end - 1
-    if len(words[end - 1]) > 6:
-        for name, code in _LONG_STATE.items():
-            if osa(words[end - 1], name, 1) <= 1:
-                return code, end - 1
+    if len(words[end - 1]) > 6 and (code := _misspelt(words[end - 1], _STATE_SLIPS)):
+        return _LONG_STATE[code], end - 1
     return "", end
 
 
@@ -131,9 +150,9 @@ def parse(text: str | None) -> Place | None:
             direction, street_words = _DIRECTION[street_words[0]], street_words[1:]
         at = next((i for i, w in enumerate(street_words) if i and w in _TYPE), 0)
         if not at:
-            at = next((i for i, w in enumerate(street_words) if i and len(w) > 4 and any(len(f) > 3 and osa(w, f, 1) <= 1 for f in STREET_TYPES)), 0)
+            at = next((i for i, w in enumerate(street_words) if i and len(w) > 4 and _misspelt(w, _TYPE_SLIPS)), 0)
             if at:
-                street_words[at] = next(f for f in STREET_TYPES if osa(street_words[at], f, 1) <= 1)
+                street_words[at] = _misspelt(street_words[at], _TYPE_SLIPS)
         if at:
             kind, street, rest = _TYPE[street_words[at]], "".join(street_words[:at]), street_words[at + 1 :]
             if rest and rest[0] in _DIRECTION and not direction and not (len(rest) > 1 and _state_at(rest, 2)[0] and _state_at(rest, 2)[1] == 0):
@@ -156,8 +175,6 @@ def parse(text: str | None) -> Place | None:
             words = words[:-1]
         if not words:
             continue
-        if not street and not street_city and not box and len(words) > 1:
-            pass
         found, first = _state_at(words, len(words))
         if found and not state:
             state, words = found, words[:first]
