@@ -26,42 +26,45 @@ def exact_duplicates(lines: DataFrame, number: str = "invoice_number") -> DataFr
     return lines.where(F.col(number).isNotNull() & F.col("vendor_id").isNotNull() & F.col("total_amount").isNotNull()).groupBy(*keys).agg(F.count_distinct("invoice_id").alias("invoices")).where("invoices >= 2")
 
 
-def recurring(invoices: DataFrame, least: int = 3, near: float = 0.02, gap: int = 20, tolerance: int = 5) -> DataFrame:
+def recurring(invoices: DataFrame, least: int = 3, near: float = 0.02, gap_days: int = 20, tolerance: int = 5) -> DataFrame:
     """(vendor_id, bucket, n, mean_amount, mean_gap) of amounts that come back at a steady interval.
 
-    Amounts are bucketed to hundreds (half to even); all must be within `near` of the mean, the mean gap at least `gap` days, and
+    Amounts are bucketed to hundreds (half to even); all must be within `near` of the mean, the mean gap at least `gap_days`, and
     every gap within `tolerance` days of it.
     """
-    keyed = invoices.where("vendor_id is not null and invoice_date is not null and total_amount > 0").withColumn("bucket", F.bround(F.col("total_amount").cast("double"), -2))
-    w = Window.partitionBy("vendor_id", "bucket")
-    gaps = keyed.withColumn("gap", F.date_diff("invoice_date", F.lag("invoice_date").over(w.orderBy("invoice_date", "invoice_id"))))
     amount = F.col("total_amount").cast("double")
-    out = gaps.groupBy("vendor_id", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(amount).alias("mean_amount"), F.avg("gap").alias("mean_gap"), F.min(amount).alias("_low"), F.max(amount).alias("_high"), F.min("gap").alias("_short"), F.max("gap").alias("_long"),
+    rows = invoices.where("vendor_id is not null and invoice_date is not null and total_amount > 0").withColumn("bucket", F.bround(amount, -2))
+    # by day first: however many rows a vendor has, the window below sees at most one a day
+    daily = rows.groupBy("vendor_id", "bucket", "invoice_date").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("total_amount") * 100).cast("long")).alias("cents"), F.min(amount).alias("low"), F.max(amount).alias("high"))
+    gap = F.date_diff("invoice_date", F.lag("invoice_date").over(Window.partitionBy("vendor_id", "bucket").orderBy("invoice_date")))
+    out = daily.withColumn("gap", gap).groupBy("vendor_id", "bucket").agg(
+        F.sum("k").alias("n"), (F.sum("cents") / 100.0 / F.sum("k")).alias("mean_amount"), F.min("low").alias("_low"), F.max("high").alias("_high"),
+        F.date_diff(F.max("invoice_date"), F.min("invoice_date")).alias("_span"), F.least(F.min("gap"), F.min(F.when(F.col("k") > 1, 0))).alias("_short"), F.max("gap").alias("_long"),
     )
+    out = out.where(F.col("n") >= F.greatest(F.lit(least), F.lit(2))).withColumn("mean_gap", F.col("_span") / (F.col("n") - 1))
     m, g = F.col("mean_amount"), F.col("mean_gap")
-    steady = (F.col("_high") - m <= m * near) & (m - F.col("_low") <= m * near) & (g >= gap) & (F.col("_long") - g <= tolerance) & (g - F.col("_short") <= tolerance)
-    return out.where((F.col("n") >= least) & steady).select("vendor_id", "bucket", "n", "mean_amount", "mean_gap")
+    steady = (F.col("_high") - m <= m * near) & (m - F.col("_low") <= m * near) & (g >= gap_days) & (F.col("_long") - g <= tolerance) & (g - F.col("_short") <= tolerance)
+    return out.where(steady).select("vendor_id", "bucket", "n", "mean_amount", "mean_gap")
 
 
 def sliding_clusters(invoices: DataFrame, limits: list[float], windows: tuple[int, ...] = (7, 14, 30), least: int = 4) -> DataFrame:
     """(vendor_id, invoice_id, window_days, n, total, limit_amount): from each invoice on, the invoices of the next days that all
     stay below a limit which their sum reaches; the lowest such limit.
 
-    The ids of a window are not collected, so a busy vendor costs a running sum, not a list for each of its invoices.
+    Windows run over daily sums, which are at most one row a day for a vendor, and are joined back to its invoices.
     """
-    day = F.unix_date("invoice_date")
-    rows = invoices.where("vendor_id is not null and invoice_date is not null and total_amount > 0").withColumns({"day": day, "cents": (F.col("total_amount") * 100).cast("long")})
+    rows = invoices.where("vendor_id is not null and invoice_date is not null and total_amount > 0").withColumns({"day": F.unix_date("invoice_date"), "cents": (F.col("total_amount") * 100).cast("long")})
+    daily = rows.groupBy("vendor_id", "day").agg(F.count(F.lit(1)).alias("k"), F.sum("cents").alias("cents"), F.max("cents").alias("top"))
     found = []
     for days in windows:
         w = Window.partitionBy("vendor_id").orderBy("day").rangeBetween(0, days)
-        seen = rows.select("vendor_id", "invoice_id", F.lit(days).alias("window_days"), F.count(F.lit(1)).over(w).alias("n"), F.sum("cents").over(w).alias("sum"), F.max("cents").over(w).alias("most"))
+        seen = daily.select("vendor_id", "day", F.lit(days).alias("window_days"), F.sum("k").over(w).alias("n"), F.sum("cents").over(w).alias("sum"), F.max("top").over(w).alias("most"))
         limit = F.coalesce(*[F.when((F.col("most") < x * 100) & (F.col("sum") >= x * 100), F.lit(float(x))) for x in sorted(limits)])
-        found.append(seen.where(F.col("n") >= least).select("vendor_id", "invoice_id", "window_days", "n", (F.col("sum") / 100.0).alias("total"), limit.alias("limit_amount")).where("limit_amount is not null"))
+        found.append(seen.where(F.col("n") >= least).select("vendor_id", "day", "window_days", "n", (F.col("sum") / 100.0).alias("total"), limit.alias("limit_amount")).where("limit_amount is not null"))
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out
+    return rows.select("vendor_id", "invoice_id", "day").join(out, ["vendor_id", "day"]).drop("day")
 
 
 def order_sums(invoices: DataFrame, limits: list[float]) -> DataFrame:
@@ -89,25 +92,38 @@ def quarter_change(invoices: DataFrame, drop: float = 0.4, keep: float = 0.8, mo
 
 
 def split_history(invoices: DataFrame, share: float = 0.75, least: int = 6) -> DataFrame:
-    """invoices with `recent`: the first part of each vendor's invoices in date order is history, the rest recent."""
-    w = Window.partitionBy("vendor_id")
-    n = F.count(F.lit(1)).over(w)
-    k = F.row_number().over(w.orderBy("invoice_date", "invoice_id"))
-    cut = F.least(F.greatest(F.floor(n * share), F.lit(least)), n - 1)
+    """invoices with `recent`: the first part of each vendor's invoices in date order is history, the rest recent.
+
+    The rank of an invoice is the number on earlier days, from daily counts, plus its rank on its day.
+    """
     rows = invoices.where("vendor_id is not null and invoice_date is not null and total_amount > 0")
-    return rows.withColumns({"_n": n, "recent": k > cut}).where(f"_n > {least}").drop("_n")
+    daily = rows.groupBy("vendor_id", "invoice_date").agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy("vendor_id")
+    before = F.coalesce(F.sum("_k").over(w.orderBy("invoice_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    daily = daily.withColumns({"_before": before, "_n": F.sum("_k").over(w)}).where(f"_n > {least}").drop("_k")
+    rank = F.row_number().over(Window.partitionBy("vendor_id", "invoice_date").orderBy("invoice_id"))
+    cut = F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(least)), F.col("_n") - 1)
+    ranked = rows.withColumn("_rank", rank).join(daily, ["vendor_id", "invoice_date"])
+    return ranked.withColumn("recent", F.col("_before") + F.col("_rank") > cut).drop("_rank", "_before", "_n")
 
 
 def baseline(invoices: DataFrame) -> DataFrame:
-    """(vendor_id, n, mean_amount, std_amount, max_amount, mean_gap, std_gap) of (vendor_id, invoice_id, invoice_date, total_amount).
+    """(vendor_id, n, mean_amount, std_amount, max_amount, mean_gap, std_gap) of (vendor_id, invoice_date, total_amount).
 
-    Without enough rows the deviation is a fifth of the mean, the gap 30 days and its deviation .3 of it.
+    Without enough rows the deviation is a fifth of the mean, the gap 30 days and its deviation .3 of it. Gaps come from daily
+    sums; invoices of one day have gaps of 0.
     """
-    w = Window.partitionBy("vendor_id").orderBy("invoice_date", "invoice_id")
-    rows = invoices.withColumns({"_gap": F.date_diff("invoice_date", F.lag("invoice_date").over(w)), "_amount": F.col("total_amount").cast("double")})
-    out = rows.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"), F.avg("_amount").alias("mean_amount"), F.stddev_samp("_amount").alias("_std"), F.max("_amount").alias("max_amount"), F.avg("_gap").alias("_gap"), F.stddev_samp("_gap").alias("_gap_std"))
-    gap = F.coalesce("_gap", F.lit(30.0))
-    return out.select("vendor_id", "n", "mean_amount", F.coalesce("_std", F.col("mean_amount") * 0.2).alias("std_amount"), "max_amount", gap.alias("mean_gap"), F.coalesce("_gap_std", gap * 0.3).alias("std_gap"))
+    amount = F.col("total_amount").cast("double")
+    daily = invoices.groupBy("vendor_id", "invoice_date").agg(F.count(F.lit(1)).alias("k"), F.sum(amount).alias("s"), F.sum(amount * amount).alias("q"), F.max(amount).alias("m"))
+    gap = F.date_diff("invoice_date", F.lag("invoice_date").over(Window.partitionBy("vendor_id").orderBy("invoice_date")))
+    got = daily.withColumn("gap", gap).groupBy("vendor_id").agg(F.sum("k").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("max_amount"), F.sum("gap").alias("gs"), F.sum(F.col("gap") * F.col("gap")).alias("gq"))
+    n = F.col("n")
+    spread = lambda total, squares, k: F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / k) / (k - 1))))
+    mean_gap = F.when(n > 1, F.coalesce("gs", F.lit(0)) / (n - 1)).otherwise(30.0)
+    return got.select(
+        "vendor_id", "n", (F.col("s") / n).alias("mean_amount"), F.coalesce(spread(F.col("s"), F.col("q"), n), F.col("s") / n * 0.2).alias("std_amount"), "max_amount",
+        mean_gap.alias("mean_gap"), F.coalesce(spread(F.coalesce("gs", F.lit(0)), F.coalesce("gq", F.lit(0)), n - 1), mean_gap * 0.3).alias("std_gap"),
+    )
 
 
 def unusual_amounts(invoices: DataFrame, warn: float = 2.5, severe: float = 3.0) -> DataFrame:
@@ -187,6 +203,6 @@ def without_receipt(invoices: DataFrame, receipts: DataFrame, coverage: float =
 def rare_categories(lines: DataFrame, key: str, vendor: str = "vendor_id", least: int = 5, share: float = 0.01, once: bool = False) -> DataFrame:
     """(vendor_id, key, n, share): kinds of item a vendor with `least` lines or more bills at most `share` of the time, or once."""
     counts = lines.where(F.col(vendor).isNotNull() & F.col(key).isNotNull()).groupBy(vendor, key).agg(F.count(F.lit(1)).alias("n"))
-    all_ = F.sum("n").over(Window.partitionBy(vendor))
-    out = counts.withColumns({"_all": all_, "share": F.col("n") / all_}).where(F.col("_all") >= least)
+    all_ = counts.groupBy(vendor).agg(F.sum("n").alias("_all")).where(F.col("_all") >= least)
+    out = counts.join(all_, vendor).withColumn("share", F.col("n") / F.col("_all"))
     return out.where(F.col("n") == 1 if once else F.col("share") < share).select(vendor, key, "n", "share")
