@@ -15,7 +15,7 @@ from ledgersift.llm.arrow import batch, pieces
 
 WORD = re.compile(r"[^\W_]+")
 #: Characters of text whose suffixes form one array; a longer document is an array of its own.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -46,8 +46,30 @@ def _searcher(items: list[tuple[int, list[str]]], span: int):
         high[:, -1] += 1
         probes[need] = (found, _keys(low), _keys(high))
 
+    def cut(text: str | None) -> Iterator[tuple[int, list[str]]]:
+        """(number of the first word, words) of parts of a text; the parts overlap by a whole item less one word."""
+        if not text or len(text) <= SHARD_CHARS:
+            yield 0, words(text)
+            return
+        at = first = 0
+        kept: list[str] = []
+        while at < len(text):
+            end = min(len(text), at + SHARD_CHARS)
+            while end < len(text) and WORD.match(text[end]):
+                end += 1
+            part = kept + words(text[at:end])
+            yield first, part
+            kept = part[len(part) - deepest + 1 :] if deepest > 1 else []
+            first += len(part) - len(kept)
+            at = end
+
     def search(ids: list, texts: list) -> Iterator[tuple]:
-        per_doc = [list(map(number.get, words(t))) for t in texts]
+        parts = [(i, offset, ws) for i, t in zip(ids, texts, strict=True) for offset, ws in cut(t)]
+        for first, end in pieces([len(ws) + 1 for _, _, ws in parts], SHARD_CHARS // 4):
+            yield from search_parts(parts[first:end])
+
+    def search_parts(parts: list) -> Iterator[tuple]:
+        per_doc = [list(map(number.get, ws)) for _, _, ws in parts]
         lengths = np.array([len(x) + 1 for x in per_doc])
         codes = np.fromiter((c or 0 for c in chain.from_iterable(x + [0] for x in per_doc)), np.uint32, lengths.sum())
         starts = np.cumsum(lengths) - lengths
@@ -72,7 +94,8 @@ def _searcher(items: list[tuple[int, list[str]]], span: int):
                     same = matrix[j, : len(code)] == code
                     n = len(code) if same.all() else int(np.argmin(same))
                     d = int(np.searchsorted(starts, at[j], "right")) - 1
-                    yield item, ids[d], n, begins, int(at[j] - starts[d])
+                    doc, offset, _ = parts[d]
+                    yield item, doc, n, begins, int(at[j] - starts[d]) + offset
 
     return search
 
@@ -110,7 +133,8 @@ def find_passages(docs: DataFrame, items: DataFrame, span: int = 13, doc_id: str
                     out = pa.schema([("item_id", pa.string() if kinds[1] == "string" else pa.int64()), ("doc_id", x.schema[0].type), ("words", pa.int32()), ("item_word", pa.int32()), ("doc_word", pa.int64())])
                 ids, texts = x.column(0).to_pylist(), x.column(1).to_pylist()
                 for first, end in pieces([len(t or "") + 1 for t in texts], SHARD_CHARS):
-                    if rows := list(search(ids[first:end], texts[first:end])):
+                    # a match in the overlap of two parts is found in both
+                    if rows := list(dict.fromkeys(search(ids[first:end], texts[first:end]))):
                         yield batch(dict(zip(out.names, zip(*rows), strict=True)), out)
 
         parts.append(docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgersift.llm import addresses, components, leakage, mapping, names, near_duplicates, packing, spans
+from ledgersift.operators.pairs import related_vendors
 from ledgersift.session import table, written
+from ledgersift.sources.invoices import vendors
 
 SPAN, CORE = 300, 230
 
@@ -94,5 +96,35 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared)}
-SQL: dict[str, str] = {}
+def p10_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document loses if only the first copy of a shared span is kept."""
+    docs = table(spark, folder, "documents")
+    cut = spans.without_repeats(docs, spans.shared_spans(docs, SPAN), CORE)
+    return cut.select("doc_id", "removed", F.char_length("text").alias("kept_chars"))
+
+
+def vendor_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Vendors joined directly or through others by shared master data."""
+    related = related_vendors(vendors(spark, folder))
+    return components.contract_components(related, "vendor_a", "vendor_b").select(F.col("id").alias("vendor_id"), "group_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p5_found, p5_unmatched, p7_found, p7_usage, p8_containers, p8_report, p9_found, p9_passages, p9_clean, p10_found, p10_shared, p10_without_repeats, vendor_clusters)}
+_LINKS = """last AS (SELECT least(vendor_id_a, vendor_id_b) AS a, greatest(vendor_id_a, vendor_id_b) AS b, lower(trim(decision)) AS decision FROM vendor_matches
+  WHERE vendor_id_a <> vendor_id_b QUALIFY row_number() OVER (PARTITION BY least(vendor_id_a, vendor_id_b), greatest(vendor_id_a, vendor_id_b) ORDER BY decided_at DESC NULLS LAST, match_id DESC) = 1),
+  e AS (SELECT a, b FROM last WHERE decision = 'accepted' UNION SELECT b, a FROM last WHERE decision = 'accepted'),
+  reach(vendor_id, other) AS (SELECT a, a FROM e UNION SELECT r.vendor_id, e.b FROM reach r JOIN e ON r.other = e.a)"""
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+SQL: dict[str, str] = {
+    "p7_found": f"WITH RECURSIVE {_LINKS} SELECT vendor_id, min(other) AS group_id FROM reach GROUP BY 1",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), n AS (SELECT *, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+      g AS (SELECT item_id, n, w[k:k + n - 1] AS gram FROM n, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS k)),
+      sizes AS (SELECT DISTINCT n FROM n), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+      h AS (SELECT doc_id, n, w[k:k + n - 1] AS gram FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS k))
+      SELECT DISTINCT item_id, doc_id FROM g JOIN h USING (n, gram)""",
+    "p10_found": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+      w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h FROM t, LATERAL (SELECT unnest(generate_series(1, length(text) - 299)) AS i)),
+      r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT * FROM w SEMI JOIN r USING (h)) a JOIN (SELECT * FROM w SEMI JOIN r USING (h)) b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}

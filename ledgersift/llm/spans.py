@@ -14,7 +14,8 @@ from ledgersift.session import written
 
 #: Characters whose spans are hashed together.
 SHARD_CHARS = 1_000_000
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: A sentence with the blanks after it.
+SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|[.!?](?=\S)|\n|$)\s*")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -74,21 +75,21 @@ def _emit(core: int, width: int):
         for x in batches:
             schema = pa.schema([("h", pa.int64()), ("doc", x.schema[0].type), ("pos", pa.int32())])
             ids, texts = x.column(0), x.column(1).to_pylist()
-            sizes = [len(t) if t else 0 for t in texts]
-            for first, end in pieces([s + 1 for s in sizes], SHARD_CHARS):
-                keep = [i for i in range(first, end) if sizes[i] >= core]
-                if not keep:
-                    continue
-                lengths = np.array([sizes[i] for i in keep])
+            # a very long text is cut into parts that overlap by more than a span and a window, so that none is lost at a cut
+            cuts = [(i, s, min(len(t), s + SHARD_CHARS + core + 2 * width)) for i, t in enumerate(texts) if t and len(t) >= core for s in range(0, max(1, len(t) - core - 2 * width), SHARD_CHARS)]
+            for first, end in pieces([e - s + 1 for _, s, e in cuts], SHARD_CHARS):
+                part = cuts[first:end]
+                lengths = np.array([e - s for _, s, e in part])
                 begins = np.cumsum(lengths + 1) - lengths - 1
-                chars = np.frombuffer("".join(texts[i] + "\0" for i in keep).encode("utf-32-le", "surrogatepass"), np.uint32)
+                chars = np.frombuffer("".join(texts[i][s:e] + "\0" for i, s, e in part).encode("utf-32-le", "surrogatepass"), np.uint32)
                 at = _anchors(chars, width)
-                doc = np.searchsorted(begins, at, "right") - 1
-                fits = at + core <= begins[doc] + lengths[doc]
-                at, doc = at[fits], doc[fits]
+                cut = np.searchsorted(begins, at, "right") - 1
+                fits = at + core <= begins[cut] + lengths[cut]
+                at, cut = at[fits], cut[fits]
                 if len(at):
                     h = _span_hashes(chars, at, core).view(np.int64)
-                    yield batch({"h": h, "doc": ids.take(pa.array(np.array(keep)[doc])), "pos": (at - begins[doc]).astype(np.int32)}, schema)
+                    doc, start = np.array([i for i, _, _ in part])[cut], np.array([s for _, s, _ in part])[cut]
+                    yield batch({"h": h, "doc": ids.take(pa.array(doc)), "pos": (at - begins[cut] + start).astype(np.int32)}, schema)
 
     return run
 
@@ -173,9 +174,14 @@ def shared_pairs(spans: DataFrame) -> DataFrame:
     return spans.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
 
 
-def shared_intervals(spans: DataFrame, core: int) -> DataFrame:
-    """(doc_id, from, to): the maximal runs of characters of each document that stand in shared spans."""
-    sides = spans.select(F.col("a").alias("doc_id"), F.col("pos_a").alias("pos"), "before", "after").unionAll(spans.select("b", "pos_b", "before", "after"))
+def shared_intervals(spans: DataFrame, core: int, later_only: bool = False) -> DataFrame:
+    """(doc_id, from, to): the maximal runs of characters of each document that stand in shared spans.
+
+    later_only: only those that stand in a document with a smaller id too, so that the first copy of a span is none.
+    """
+    sides = spans.select(F.col("b").alias("doc_id"), F.col("pos_b").alias("pos"), "before", "after")
+    if not later_only:
+        sides = sides.unionAll(spans.select("a", "pos_a", "before", "after"))
     starts = sides.groupBy("doc_id", "pos").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     spots = starts.select("doc_id", (F.col("pos") - F.col("before")).alias("from"), (F.col("pos") + core + F.col("after")).alias("to"))
     by_doc = Window.partitionBy("doc_id").orderBy("from", "to")
@@ -189,3 +195,39 @@ def shared_characters(spans: DataFrame, docs: DataFrame, core: int, doc_id: str
     shared = shared_intervals(spans, core).groupBy("doc_id").agg(F.sum(F.col("to") - F.col("from")).alias("shared_chars"))
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.char_length(text).alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     return shared.join(sizes, "doc_id").select("doc_id", "shared_chars", "n_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_ratio"))
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(from, to) of the sentences of a text; together they are the text."""
+    return [m.span() for m in SENTENCE.finditer(text) if m.end() > m.start()]
+
+
+def _cut_sentences(batches):
+    for x in batches:
+        schema = pa.schema([("doc_id", x.schema[0].type), ("text", pa.string()), ("removed", pa.int32())])
+        docs, texts, runs = (x.column(i).to_pylist() for i in range(3))
+        kept_texts, removed = [], []
+        for t, found in zip(texts, runs, strict=True):
+            found = sorted((r["from"], r["to"]) for r in found or ())
+            kept, k = [], 0
+            for s, e in sentences(t or ""):
+                while k < len(found) and found[k][1] < e:
+                    k += 1
+                end = s + len(t[s:e].rstrip())
+                if not (k < len(found) and found[k][0] <= s and end <= found[k][1]) and not (k and found[k - 1][0] <= s and end <= found[k - 1][1]):
+                    kept.append(t[s:e])
+            kept_texts.append(None if t is None else "".join(kept))
+            removed.append(len(sentences(t or "")) - len(kept))
+        yield batch({"doc_id": x.column(0), "text": kept_texts, "removed": removed}, schema)
+
+
+def without_repeats(docs: DataFrame, spans: DataFrame, core: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, removed): every document without the sentences that a repeated span covers, but for the span's first copy.
+
+    The first copy is the one in the document with the smallest id. removed is the number of sentences taken out. Null texts stay null;
+    null ids stay, as they share nothing; rows with equal ids are each cut alike.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+    runs = shared_intervals(spans, core, later_only=True).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("runs"))  # at most a document's length
+    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(_cut_sentences, f"doc_id {kind}, text string, removed int")
