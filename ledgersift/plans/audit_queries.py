@@ -74,10 +74,10 @@ def vendor_premium_index(spark, folder):
     return prices.premium_index(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "amount")
 
 
-@query(f"WITH {_SERIES}, {_BENCH} SELECT vendor, category, round(sum((price - median) * quantity), 6) AS saving FROM series JOIN bench ON item = category WHERE price > median GROUP BY 1, 2 HAVING sum((price - median) * quantity) >= 5000")
+@query(f"WITH {_SERIES}, {_BENCH} SELECT vendor, category, round(sum((price - median) * quantity), 2) AS saving FROM series JOIN bench ON item = category WHERE price > median GROUP BY 1, 2 HAVING sum((price - median) * quantity) >= 5000")
 def renegotiation_savings(spark, folder):
     s = series(spark, folder)
-    return prices.savings(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "quantity")
+    return prices.savings(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "quantity").withColumn("saving", F.round("saving", 2))
 
 
 @query(f"""WITH {_SERIES}, a AS (SELECT item AS category, quantile_cont(price, 0.5) AS median, count(*) AS n FROM series WHERE day < DATE '1997-01-01' GROUP BY 1),
@@ -142,7 +142,7 @@ def contract_rate_breach(spark, folder):
     return prices.rate_as_of(s.select("vendor", "item", "day", "price", "invoice").distinct(), rates, 0.03, 0.05).select("vendor", "item", "invoice", "day", "price", "allowed")
 
 
-@query(f"WITH {_SERIES} SELECT vendor, tier, round(sum(quantity), 6) AS quantity FROM series, (VALUES (10000.0), (14000.0), (15000.0)) t(tier) GROUP BY 1, 2 HAVING sum(quantity) >= tier")
+@query(f"WITH {_SERIES} SELECT vendor, tier, round(sum(quantity), 6) AS quantity FROM series, (VALUES (10000.0::DOUBLE), (14000.0::DOUBLE), (15000.0::DOUBLE)) t(tier) GROUP BY 1, 2 HAVING sum(quantity) >= tier")
 def volume_commitment(spark, folder):
     """Every volume tier that a vendor's quantity reaches: one row for each."""
     total = series(spark, folder).groupBy("vendor").agg(F.sum("quantity").alias("quantity"))
@@ -179,7 +179,7 @@ def benford_by_vendor(spark, folder):
 
 
 @query(f"""WITH {_HEADERS}, c AS (SELECT vendor_id, count(*) AS n, count(*) FILTER (total_amount >= 4500 AND total_amount < 5000) AS in_band FROM headers WHERE total_amount > 0 AND vendor_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 20)
-  SELECT vendor_id, n, in_band, round(n * 0.1, 6) AS expected, round(pow(in_band - n * 0.1, 2) / (n * 0.1) + pow(n - in_band - n * 0.9, 2) / (n * 0.9), 6) AS chi2 FROM c""")
+  SELECT vendor_id, n, in_band, round(n * 0.1::DOUBLE, 6) AS expected, round(pow(in_band - n * 0.1, 2) / (n * 0.1) + pow(n - in_band - n * 0.9, 2) / (n * 0.9), 6) AS chi2 FROM c""")
 def threshold_clustering(spark, folder):
     h = headers(spark, folder, "vendor_id", "total_amount").withColumn("total_amount", F.col("total_amount").cast("double"))
     return stats.threshold_band(h, "vendor_id", "total_amount", 5000)
@@ -268,7 +268,7 @@ def amount_normalise(spark, folder):
     return h.select("invoice_id", "gross_amount", tax.alias("tax_amount"), "net_amount", amounts.is_credit(F.col("gross_amount"), F.col("payment_status")).alias("credit"), F.array_join(amounts.amount_issues(F.col("gross_amount")), ", ").alias("issues"))
 
 
-@query("""SELECT DISTINCT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 ELSE 0.0 END AS discount, CAST(CASE c_custkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE 0 END AS INTEGER) AS discount_days,
+@query("""SELECT DISTINCT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 ELSE 0.0 END::DOUBLE AS discount, CAST(CASE c_custkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE 0 END AS INTEGER) AS discount_days,
   CAST(CASE c_custkey % 4 WHEN 0 THEN 30 WHEN 1 THEN 45 WHEN 2 THEN 60 ELSE 0 END AS INTEGER) AS net_days FROM customer""")
 def payment_terms(spark, folder):
     """Terms written for each customer, read into numbers."""
