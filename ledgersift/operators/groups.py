@@ -187,10 +187,11 @@ def enrich(used: DataFrame, master: DataFrame, key: str, columns: list[str]) ->
 
 
 def usual_name(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name, n): the most frequent name of each key; of equally frequent ones the smallest."""
-    counts = rows.where(F.col(key).isNotNull() & (F.trim(name) != "")).groupBy(key, F.trim(name).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), name)).alias("_top"))
-    return best.select(key, F.col(f"_top.{name}").alias(name), (-F.col("_top.m")).alias("n"))
+    """(key, name, times): the most frequent name of each key; of equally frequent ones the smallest."""
+    pick = rows.where(F.col(key).isNotNull() & (F.trim(name) != "")).select(F.col(key).alias("_key"), F.trim(name).alias("_name"))
+    counts = pick.groupBy("_key", "_name").agg(F.count(F.lit(1)).alias("_count"))
+    best = counts.groupBy("_key").agg(F.min(F.struct((-F.col("_count")).alias("m"), "_name")).alias("_top"))
+    return best.select(F.col("_key").alias(key), F.col("_top._name").alias(name), (-F.col("_top.m")).alias("times"))
 
 
 def without_receipt(invoices: DataFrame, receipts: DataFrame, coverage: float = 0.5) -> DataFrame:
