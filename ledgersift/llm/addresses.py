@@ -368,6 +368,7 @@ def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.25)
     addresses stands at each; repeated rows count once; other columns are ignored; empty tables give an empty result.
     The gram table that goes to the driver and the tasks holds at most 39**3 rows, whatever the input.
     """
+    records, anchors = records.select("record", "address"), anchors.select("record", "address")
     parsed = written(records.select("address").unionAll(anchors.select("address")).where("trim(address) <> ''").distinct().mapInArrow(_parse_batches, f"address string, {_FORM}"), "addresses")
     at = lambda df: df.where("record is not null").join(parsed.select("address", "form"), "address").select("record", "form").distinct()
     of_record, of_anchor = written(at(records), "record-forms"), written(at(anchors), "anchor-forms")
