@@ -9,7 +9,7 @@ from ledgersift.functions import amounts, dates, stats, text
 from ledgersift.functions.taxonomy import classify, keywords
 from ledgersift.operators import adjudication as adj
 from ledgersift.operators import groups, pairs, prices, quality, search
-from ledgersift.session import table
+from ledgersift.session import table, written
 from ledgersift.sources.invoices import blank_to_null, headers, lines, series, vendors
 
 QUERIES: dict = {}
@@ -515,9 +515,12 @@ def one_off_charges(spark, folder):
   SELECT invoice_id, h.vendor_id, total_amount FROM headers h JOIN v USING (vendor_id) WHERE po IS NULL AND total_amount >= 1000 AND NOT (n >= 10 AND blank >= 0.8 * n)""")
 def po_gap(spark, folder):
     """Invoices without an order of vendors that usually have one."""
-    h = headers(spark, folder, "vendor_id", "total_amount", "po_number").withColumn("po", blank_to_null("po_number"))
-    v = h.where("vendor_id is not null").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("po").isNull()).alias("blank"))
-    return h.where("po is null and total_amount >= 1000").join(v, "vendor_id").where("not (n >= 10 and blank >= 0.8 * n)").select("invoice_id", "vendor_id", "total_amount")
+    return _without_order(headers(spark, folder, "vendor_id", "total_amount", "po_number").withColumn("po_number", blank_to_null("po_number")))
+
+
+def _without_order(h: DataFrame) -> DataFrame:
+    v = h.where("vendor_id is not null").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("po_number").isNull()).alias("blank"))
+    return h.where("po_number is null and total_amount >= 1000").join(v, "vendor_id").where("not (n >= 10 and blank >= 0.8 * n)").select("invoice_id", "vendor_id", "total_amount")
 
 
 @query(f"""WITH {_HEADERS}, k AS (SELECT DISTINCT invoice_id FROM goods_receipts WHERE invoice_id IS NOT NULL), c AS (SELECT count(k.invoice_id)::DOUBLE / count(*) AS share FROM headers h LEFT JOIN k ON h.invoice_id = k.invoice_id)
@@ -568,12 +571,13 @@ def dq_readiness(spark, folder):
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     """The findings of five analyses on the invoices, in the common form."""
     h = headers(spark, folder, "invoice_number", "vendor_id", "invoice_date", "total_amount", "po_number")
-    h = h.withColumn("po_number", blank_to_null("po_number"))
+    # five analyses read the headers: they are found once and written, each analysis then reads the columns it needs
+    h = written(h.withColumn("po_number", blank_to_null("po_number")), "headers")
     dup = groups.exact_duplicates(h)
     dup = h.join(dup, ["invoice_number", "vendor_id", "total_amount"])
     level = lambda x: F.lit(x)
     odd = groups.unusual_amounts(h).join(h.select("invoice_id", "total_amount"), "invoice_id")
-    gap = po_gap(spark, folder)
+    gap = _without_order(h)
     none = groups.without_receipt(h.where("total_amount >= 1000 and vendor_id is not null"), table(spark, folder, "goods_receipts"), 0.2)
     split = h.join(groups.order_sums(h, LIMITS).select("vendor_id", "po_number"), ["vendor_id", "po_number"]).where("total_amount > 0")
     amount = F.abs("total_amount")
@@ -683,14 +687,14 @@ def _feedback(found: DataFrame) -> DataFrame:
 @query(f"""WITH {_FINDINGS}, {_FEEDBACK}, g AS (SELECT module, count(*) AS verdicts, count(*) FILTER (verdict = 'false_positive') AS false_positives FROM findings JOIN fb USING (finding_id) GROUP BY 1)
   SELECT module, verdicts, false_positives, round(false_positives::DOUBLE / verdicts, 6) AS rate, round(CASE WHEN verdicts >= 5 AND false_positives::DOUBLE / verdicts > 0.2 THEN least(false_positives::DOUBLE / verdicts * 0.3, 0.2) ELSE 0 END, 6) AS bump FROM g""")
 def feedback_rates(spark, folder):
-    found = findings(spark, folder)
+    found = written(findings(spark, folder), "findings")
     return adj.feedback_rates(found, _feedback(found))
 
 
 @query(f"""WITH {_FINDINGS}, {_FEEDBACK}, w AS (SELECT module || '|' || coalesce(vendor_id, '') AS p, count(*) AS n FROM findings JOIN fb USING (finding_id) WHERE verdict = 'false_positive' GROUP BY 1)
   SELECT finding_id, coalesce(n >= 3, false) AS suppressed FROM findings LEFT JOIN w ON p = module || '|' || coalesce(vendor_id, '')""")
 def feedback_suppression(spark, folder):
-    found = findings(spark, folder)
+    found = written(findings(spark, folder), "findings")
     return adj.suppress_known(found, _feedback(found), text.pattern_hash(F.col("module"), F.col("vendor_id"))).select("finding_id", "suppressed")
 
 
