@@ -145,7 +145,9 @@ def _buckets(cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return record, np.where(size[record] == 0, 0, 2 * bucket + (cents[record] > 0) + 2)
 
 
-def _bands(permutations: int):
+def _bands(permutations: int, by_number: bool = False):
+    """Band keys of records; by_number: of their numbers alone."""
+
     def run(batches):
         schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("number", pa.string()), ("vendor", pa.int32()), ("cents", pa.int64())])
         for x in batches:
@@ -153,17 +155,17 @@ def _bands(permutations: int):
             for first, end in pieces([sum(map(len, t)) + 1 for t in lines], 2_000_000):
                 part = range(first, end)
                 n_least, n_most = min_max([f"^{numbers[i]}$" for i in part], 2, permutations, 1)
-                d_least, d_most = min_max(["\n".join(lines[i]) for i in part], 3, permutations, 2)
-                # a band takes one value of the number and one of the lines
-                keys = [_mix(n * np.uint64(31) + _mix(d + np.uint64(2 * p + top))) for top, (ns, ds) in enumerate(((n_least, d_least), (n_most, d_most))) for p, (n, d) in enumerate(zip(ns, ds, strict=True))]
-                # a record without lines is near one with a single line: their numbers alone must do
-                few = [_mix(n + np.uint64(977 + k)) for k, n in enumerate((*n_least[:3], *n_most[:3]))]
+                if by_number:
+                    keys = [_mix(n + np.uint64(977 + k)) for k, n in enumerate((*n_least, *n_most))]
+                else:  # a band takes one value of the number and one of the lines
+                    d_least, d_most = min_max(["\n".join(lines[i]) for i in part], 3, permutations, 2)
+                    keys = [_mix(n * np.uint64(31) + _mix(d + np.uint64(2 * p + top))) for top, (ns, ds) in enumerate(((n_least, d_least), (n_most, d_most))) for p, (n, d) in enumerate(zip(ns, ds, strict=True))]
                 record, bucket = _buckets(np.array(all_cents[first:end], np.int64))
                 salt = _mix(bucket.astype(np.uint64) + np.uint64(11))
-                single = np.flatnonzero(np.array([len(lines[i]) < 2 for i in part])[record])
-                rows = [(k[record] ^ salt, record) for k in keys] + [(k[record[single]] ^ salt[single], record[single]) for k in few]
-                at = pa.array(np.concatenate([r for _, r in rows]) + first)
-                yield batch({"key": np.concatenate([k for k, _ in rows]).view(np.int64), "class": x.column(0).take(at), "number": x.column(1).take(at), "vendor": x.column(2).take(at), "cents": x.column(3).take(at)}, schema)
+                # rows of one record stand side by side, which compresses far better in the shuffle
+                key = np.stack([k[record] ^ salt for k in keys], axis=1).ravel().view(np.int64)
+                at = pa.array(np.repeat(record, len(keys)) + first)
+                yield batch({"key": key, "class": x.column(0).take(at), "number": x.column(1).take(at), "vendor": x.column(2).take(at), "cents": x.column(3).take(at)}, schema)
 
     return run
 
@@ -216,15 +218,19 @@ def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple
     described = written(described.withColumn("first", F.row_number().over(by_class) == 1), "records")
     vendor = F.when(F.col("vendor").isNull(), 0).otherwise(F.hash("vendor"))
     rows = described.where("first").select("class", "number", vendor.alias("vendor"), "cents", "lines")
-    bands = rows.mapInArrow(_bands(permutations), "key bigint, class bigint, number string, vendor int, cents bigint")
-    one, two = (bands.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "number", "vendor", "cents")]) for s in "ab")
+    kind = "key bigint, class bigint, number string, vendor int, cents bigint"
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "number", "vendor", "cents")])
     near = (
-        (F.col("class_a") < F.col("class_b"))
-        & ((F.col("vendor_a") == F.col("vendor_b")) | (F.col("vendor_a") == 0) | (F.col("vendor_b") == 0))
+        ((F.col("vendor_a") == F.col("vendor_b")) | (F.col("vendor_a") == 0) | (F.col("vendor_b") == 0))
         & (F.abs(F.col("cents_a") - F.col("cents_b")) <= F.greatest(F.abs("cents_a"), F.abs("cents_b")) * TOLERANCE)
         & (F.levenshtein("number_a", "number_b", 2 * SLIPS) >= 0)  # a swap counts as two edits there
     )
-    candidates = written(one.hint("shuffle_hash").join(two, "key").where(near).select("class_a", "class_b").distinct(), "candidates")
+    bands = rows.mapInArrow(_bands(permutations), kind)
+    found = side(bands, "a").hint("shuffle_hash").join(side(bands, "b"), "key").where((F.col("class_a") < F.col("class_b")) & near).select("class_a", "class_b")
+    # a record without lines is near one with a single line, of which it has no feature: their numbers alone must do
+    bare, single = rows.where("size(lines) = 0").mapInArrow(_bands(3, True), kind), rows.where("size(lines) < 2").mapInArrow(_bands(3, True), kind)
+    lone = side(bare, "a").join(side(single, "b"), "key").where((F.col("class_a") != F.col("class_b")) & near).select(F.least("class_a", "class_b"), F.greatest("class_a", "class_b"))
+    candidates = written(found.unionAll(lone).distinct(), "candidates")
     involved = written(candidates.select(F.col("class_a").alias("class")).unionAll(candidates.select("class_b")).distinct(), "involved")
     full = written(described.where("first").join(involved, "class").select("class", "number", "vendor", "name", "cents", "lines"), "full")
     parts = ["number", "vendor", "name", "cents", "lines"]
