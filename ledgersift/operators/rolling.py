@@ -25,7 +25,8 @@ def trailing_totals(rows: DataFrame, entity: str, day: str, amount: str, windows
         .agg(F.sum((F.col(amount).cast("decimal(18,2)") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
         .repartition(F.col("entity"))
     )
-    ends = daily.groupBy("entity").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    # the last column keeps this branch on the same columns as the other, so that both read one exchange
+    ends = daily.groupBy("entity").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.sum(F.col("cents") + F.col("n")).alias("_all")).where("_all is not null")
     offset = F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("lag")
     influenced = daily.select("entity", F.col("d").alias("from"), "cents", "n", offset).withColumn("d", F.date_add("from", F.col("lag")))
     sums = influenced.groupBy("entity", "d").agg(
