@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
 from ledgersift.llm.strings import deletions, fold, osa
-from ledgersift.session import written
+from ledgersift.session import spread, written
 
 # Types of streets and their short forms.
 STREET_TYPES = {
@@ -369,7 +369,7 @@ def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.25)
     The gram table that goes to the driver and the tasks holds at most 39**3 rows, whatever the input.
     """
     records, anchors = records.select("record", "address"), anchors.select("record", "address")
-    parsed = written(records.select("address").unionAll(anchors.select("address")).where("trim(address) <> ''").distinct().mapInArrow(_parse_batches, f"address string, {_FORM}"), "addresses")
+    parsed = written(spread(records.select("address").unionAll(anchors.select("address")).where("trim(address) <> ''").distinct()).mapInArrow(_parse_batches, f"address string, {_FORM}"), "addresses")
     at = lambda df: df.where("record is not null").join(parsed.select("address", "form"), "address").select("record", "form").distinct()
     of_record, of_anchor = written(at(records), "record-forms"), written(at(anchors), "anchor-forms")
     used = of_record.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
@@ -384,7 +384,7 @@ def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.25)
 
     def fitting(indexed: DataFrame) -> DataFrame:
         index = plain.join(indexed, "form", "left_semi").mapInArrow(_prefixes(idf, rare, least), "key string, form string").withColumnRenamed("form", "anchor")
-        return probe.join(index, "key").select("anchor", "form").distinct().mapInArrow(_verify(idf, rare, least), "anchor string, form string")
+        return spread(probe.join(index, "key").select("anchor", "form").distinct()).mapInArrow(_verify(idf, rare, least), "anchor string, form string")
 
     fits = written(fitting(of_anchor.select("form").distinct()).join(forms, "form").select("anchor", "form", F.coalesce("n", F.lit(0)).alias("n"), *Place._fields), "fits")
     filled = lambda names: sum((F.col(c) != "").cast("int") for c in names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
 from ledgersift.llm.strings import Vocabulary, fold
-from ledgersift.session import written
+from ledgersift.session import spread, written
 
 #: Largest reference list that is sent to the tasks.
 MOST_ENTRIES = 100_000
@@ -199,7 +199,7 @@ def map_values(
 
     lines = values.where(F.col("record_key").isNotNull() & (F.trim(F.regexp_replace("value", r"(?U)\s", "")) != "")).select("record_source", "record_key", core_text("value", wrappers).alias("core"))
     lines = written(lines.distinct(), "cores")  # the surroundings are taken off once, for both uses
-    mapped = lines.select("core").distinct().mapInArrow(run, "core string, entry_id int")
+    mapped = spread(lines.select("core").distinct()).mapInArrow(run, "core string, entry_id int")
     return lines.join(mapped, "core").select("record_source", "record_key", "entry_id").distinct()
 
 
