@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgersift.session import written
+
 #: Critical values of chi-squared for 8 degrees of freedom at .05 and 1 degree at .05 and .01 (fixed values).
 CHI2_8_05, CHI2_1_05, CHI2_1_01 = 15.507313055865453, 3.841458820694124, 6.634896601021213
 
@@ -84,3 +86,28 @@ def threshold_band(df: DataFrame, group: str, amount: str, limit: float, band: f
     rest = F.col("n") - F.col("in_band")
     chi2 = (F.col("in_band") - e) * (F.col("in_band") - e) / e + (rest - (F.col("n") - e)) * (rest - (F.col("n") - e)) / (F.col("n") - e)
     return counts.where(F.col("n") >= least).select(group, "n", "in_band", e.alias("expected"), chi2.alias("chi2"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, one column for each name of shares): exact percentiles, interpolated linearly, of groups of any size.
+
+    Equal values are counted first. The counts are placed by ranges of (group, value); a range knows how many values of its group come
+    before it from the sums of the other ranges, so ranks are found inside ranges and no group is gathered into one task or buffer.
+    Null groups and values are left out.
+    """
+    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    ranged = written(counts.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_g", "_range").agg(F.sum("_k").alias("_c"))  # one row a group and range
+    by_group = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_c").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(sums.select("_g", "_range", before.alias("_before"), F.sum("_c").over(by_group).alias("_n")), ["_g", "_range"])
+    end = F.col("_before") + F.sum("_k").over(Window.partitionBy("_g", "_range").orderBy("_v"))
+    ranked = placed.withColumn("_end", end)
+    at = lambda i: F.max(F.when((F.col("_end") - F.col("_k") <= i) & (i < F.col("_end")), F.col("_v")))
+    aggs = []
+    for name, share in shares.items():
+        low = F.floor((F.col("_n") - 1) * share)
+        aggs += [at(low).alias(f"_l_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_h_{name}")]
+    got = ranked.groupBy(F.col("_g").alias(group)).agg(F.max("_n").alias("_n"), *aggs)
+    part = lambda share: (F.col("_n") - 1) * share - F.floor((F.col("_n") - 1) * share)
+    return got.select(group, *[(F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * part(x)).alias(n) for n, x in shares.items()])

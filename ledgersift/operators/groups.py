@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersift.functions.dates import quarter_label
-from ledgersift.functions.stats import zscore
+from ledgersift.functions.stats import percentiles, zscore
+from ledgersift.session import written
 
 
 def collapse(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,8 +156,9 @@ def top_share(rows: DataFrame, group: str, value: str, least: int = 3, share: fl
 def overbilling(invoices: DataFrame, share: float = 0.75, margin: float = 0.15) -> DataFrame:
     """(vendor_id, mean_amount, reference): vendors whose mean exceeds the percentile of all vendors' means by the margin."""
     means = invoices.where("vendor_id is not null and total_amount > 0").groupBy("vendor_id").agg(F.avg(F.col("total_amount").cast("double")).alias("mean_amount"))
-    reference = means.agg(F.percentile("mean_amount", share).alias("reference"), F.count(F.lit(1)).alias("_n"))
-    return means.crossJoin(F.broadcast(reference)).where((F.col("_n") >= 3) & (F.col("mean_amount") > F.col("reference") * (1 + margin))).drop("_n")  # one row
+    means = written(means, "means").withColumn("_all", F.lit(1))
+    reference = percentiles(means, "_all", "mean_amount", {"reference": share}).join(means.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")), "_all")  # one row
+    return means.join(F.broadcast(reference), "_all").where((F.col("_n") >= 3) & (F.col("mean_amount") > F.col("reference") * (1 + margin))).select("vendor_id", "mean_amount", "reference")
 
 
 def monthly_correlation(invoices: DataFrame, pairs: DataFrame, days: int = 30) -> DataFrame:

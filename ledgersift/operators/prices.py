@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersift.functions.dates import months_between
-from ledgersift.functions.stats import trend
+from ledgersift.functions.stats import percentiles, trend
 
 
 def eligible(series: DataFrame, points: int = 4, months: int = 3) -> DataFrame:
@@ -30,14 +30,14 @@ def jumps(series: DataFrame) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("day", "seq")
     before = F.lag("price").over(w)
     stepped = series.withColumn("jump", F.round((F.col("price") - before) / before * 100, 6)).withColumn("k", F.row_number().over(w))
+    stepped = stepped.withColumn("left", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc(), F.col("seq").desc())))
     at = F.struct("day", "seq")
     out = stepped.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"),
         F.max_by(F.struct("jump", "day"), F.when(F.col("jump").isNotNull(), F.struct(F.abs("jump").alias("size"), (-F.col("k")).alias("early")))).alias("top"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("jump").isNotNull(), F.struct("k", "jump")))), lambda x: x["jump"]).alias("steps"),
+        *[F.max(F.when(F.col("left") == i, F.col("jump"))).alias(f"_last{i}") for i in (1, 2, 3)],
     )
-    last = F.slice("steps", F.greatest(F.size("steps") - 2, F.lit(1)), 3)
-    rises = (F.size("steps") >= 3) & (last[0] > 0) & (last[1] > last[0]) & (last[2] > last[1])
+    rises = (F.col("n") > 3) & (F.col("_last3") > 0) & (F.col("_last2") > F.col("_last3")) & (F.col("_last1") > F.col("_last2"))
     return out.select(*keys, "n", "first_price", "last_price", ((F.col("last_price") - F.col("first_price")) / F.col("first_price") * 100).alias("change_pct"), F.col("top.jump").alias("max_jump_pct"), F.col("top.day").alias("max_jump_day"), F.coalesce(rises, F.lit(False)).alias("accelerating"))
 
 
@@ -61,12 +61,13 @@ def quantity_shift(series: DataFrame, change: float = 30) -> DataFrame:
 def benchmark(prices: DataFrame, category: str, vendor: str, price: str, least_vendors: int = 3) -> DataFrame:
     """(category, n, vendors, mean, std, p25, median, p75, p90) of unit prices, for categories with enough vendors.
 
-    Percentiles interpolate linearly, over all rows.
+    Percentiles are exact and interpolate linearly; a category may hold any share of the rows.
     """
-    out = prices.where(F.col(price) > 0).groupBy(F.col(category).alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(vendor).alias("vendors"), F.avg(price).alias("mean"), F.stddev_pop(price).alias("std"), F.percentile(F.col(price), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("p"),
-    )
-    return out.where(F.col("vendors") >= least_vendors).select("category", "n", "vendors", "mean", "std", *[F.col("p")[i].alias(x) for i, x in enumerate(("p25", "median", "p75", "p90"))])
+    rows = prices.where((F.col(price) > 0) & F.col(category).isNotNull()).select(F.col(category).alias("category"), F.col(vendor).alias("_vendor"), F.col(price).alias("_price"))
+    measures = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("_price").alias("mean"), F.stddev_pop("_price").alias("std"))
+    several = rows.select("category", "_vendor").distinct().groupBy("category").agg(F.count("_vendor").alias("vendors")).where(F.col("vendors") >= least_vendors)
+    ranks = percentiles(rows, "category", "_price", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    return several.join(measures, "category").join(ranks, "category").select("category", "n", "vendors", "mean", "std", "p25", "median", "p75", "p90")
 
 
 def deviations(prices: DataFrame, reference: DataFrame, category: str, price: str, quantity: str, above: float = 10, each: float = 50, total: float = 500) -> DataFrame:
