@@ -111,3 +111,14 @@ def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float])
     got = ranked.groupBy(F.col("_g").alias(group)).agg(F.max("_n").alias("_n"), *aggs)
     part = lambda share: (F.col("_n") - 1) * share - F.floor((F.col("_n") - 1) * share)
     return got.select(group, *[(F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * part(x)).alias(n) for n, x in shares.items()])
+
+
+def chi_squared(observed: DataFrame, expected: DataFrame, key: str, count: str) -> DataFrame:
+    """One row (chi2, dof): counts of keys against expected counts scaled to the same total; keys of either side count, and one
+    that is not expected at all is compared with nothing and left out."""
+    a, b = observed.groupBy(key).agg(F.sum(count).alias("_o")), expected.groupBy(key).agg(F.sum(count).alias("_e"))
+    both = a.join(b, key, "full_outer").select(F.coalesce("_o", F.lit(0)).alias("_o"), F.coalesce("_e", F.lit(0)).alias("_e"))
+    sums = both.where("_e > 0").agg(F.sum("_o").alias("_os"), F.sum("_e").alias("_es"), F.sum(F.col("_o") * F.col("_o") / F.col("_e")).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    # sum (o - e s)^2 / (e s) with s = total of o / total of e, multiplied out, so that one pass does
+    chi2 = F.col("_q") * F.col("_es") / F.col("_os") - F.col("_os")
+    return sums.select(F.when(F.col("_os") > 0, F.greatest(F.lit(0.0), chi2)).otherwise(0.0).alias("chi2"), F.greatest(F.col("_n") - 1, F.lit(0)).alias("dof"))

@@ -209,3 +209,15 @@ def rare_categories(lines: DataFrame, key: str, vendor: str = "vendor_id", least
     all_ = counts.groupBy(vendor).agg(F.sum("n").alias("_all")).where(F.col("_all") >= least)
     out = counts.join(all_, vendor).withColumn("share", F.col("n") / F.col("_all"))
     return out.where(F.col("n") == 1 if once else F.col("share") < share).select(vendor, key, "n", "share")
+
+
+def outside_scope(lines: DataFrame, scope: DataFrame, least: float = 0.7) -> DataFrame:
+    """(key, description, similarity): descriptions of (key, description) whose best word similarity to any entry of the same key in
+    scope (key, entry) stays below `least`. Keys without a scope are left out; each distinct description is compared once."""
+    from ledgersift.functions.text import jaccard, normalize_text, words_of
+
+    words = lambda c: words_of(normalize_text(F.col(c)))
+    said = lines.where("key is not null and description is not null").select("key", "description").distinct().withColumn("_w", words("description"))
+    agreed = scope.where("key is not null and entry is not null").select("key", words("entry").alias("_s")).distinct()
+    best = said.join(agreed, "key").groupBy("key", "description").agg(F.max(jaccard(F.col("_w"), F.col("_s"))).alias("similarity"))
+    return best.where(F.col("similarity") < least)
