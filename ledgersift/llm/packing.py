@@ -94,8 +94,8 @@ def fill(slots: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]
 def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int = GROUP) -> DataFrame:
     """(container, doc_id, part, first_token, tokens): every document of (doc_id, tokens) in containers of `capacity` tokens.
 
-    A document that alone is larger is split into full parts and a rest; all others stay whole. A document without
-    tokens takes no room and has no row, nor has a null id or size. Repeated rows of an id are packed each.
+    A document that alone is larger is split into full parts and a rest; all others stay whole. A document without tokens takes
+    no room and goes with the first container of its group. Null ids and sizes have no row; repeated rows of an id are packed each.
 
     A global histogram of at most `capacity` sizes goes to the driver, where dynamic programming chooses the length buckets with the
     least padding. Batches inside one bucket alone would leave nearly half of a container empty after each item just
@@ -103,7 +103,7 @@ def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int
     spread into groups of about `group` by a hash of id and size, each group is packed by one task on (id, size) pairs alone,
     and takes the documents of a bucket in order of their id; only a group's last containers can stay emptier than the rest.
     """
-    whole = sized.where(F.col("doc_id").isNotNull() & (F.col("tokens") > 0))
+    whole = sized.where(F.col("doc_id").isNotNull() & (F.col("tokens") >= 0))
     part = F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / capacity).cast("int"))).alias("part")
     parts = whole.select("doc_id", "tokens", part).select("doc_id", "part", F.least(F.col("tokens") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("n"))
     histogram = {r.n: r.k for r in parts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).toLocalIterator()}  # at most `capacity` rows
@@ -114,12 +114,13 @@ def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].combine_chunks()
         part_of, sizes = table["part"].to_numpy(), table["n"].to_numpy()
-        padded = bounds[np.searchsorted(bounds, sizes)]
+        padded = bounds[np.searchsorted(bounds, sizes)] if len(bounds) else np.zeros(len(sizes), np.int64)
         where = defaultdict(list)
         for i in np.lexsort((part_of, pc.rank(ids).to_numpy())):
-            where[int(padded[i])].append(i)
+            if sizes[i]:
+                where[int(padded[i])].append(i)
         taken, n = dict.fromkeys(where, 0), np.int64(table["g"][0].as_py()) << np.int64(32)
-        container = np.empty(len(sizes), np.int64)
+        container = np.full(len(sizes), n)
         for times, pattern in fill({s: len(x) for s, x in where.items()}, capacity):
             for _ in range(times):
                 for s, k in pattern.items():

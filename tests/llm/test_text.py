@@ -148,7 +148,7 @@ def test_pack(spark):
     assert max(used.values()) <= 100
     wanted = {}
     for i, n in sized:
-        if i is not None and n:
+        if i is not None and n is not None:
             wanted.setdefault(i, []).append(n)
     assert set(parts) == set(wanted)
     for i, ns in wanted.items():
