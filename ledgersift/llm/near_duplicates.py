@@ -26,6 +26,9 @@ SAME_LINE = 0.7
 #: Width of an amount bucket, in tolerances; only amounts next to a bound are put into two.
 WIDTH = 4
 
+#: Band rows of one partition that may be hashed in memory.
+HASHED_ROWS = 1_500_000
+
 # What is added to a line that is entered again.
 ADDED = re.compile(r"\s*(?:\(copy\)|-\s+resent|,\s*as agreed|p\.quote|\.)\s*$")
 _ENDS = re.compile(r"^[^0-9]+|[^0-9]+$")
@@ -226,7 +229,10 @@ def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple
         & (F.levenshtein("number_a", "number_b", 2 * SLIPS) >= 0)  # a swap counts as two edits there
     )
     bands = rows.mapInArrow(_bands(permutations), kind)
-    found = side(bands, "a").hint("shuffle_hash").join(side(bands, "b"), "key").where((F.col("class_a") < F.col("class_b")) & near).select("class_a", "class_b")
+    # hashed partitions cannot spill, sorted ones can: hash only what is known to fit
+    share = described.where("first").count() * 2 * permutations * (1 + 1 / WIDTH) / int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = side(bands, "a").hint("shuffle_hash" if share <= HASHED_ROWS else "merge")
+    found = left.join(side(bands, "b"), "key").where((F.col("class_a") < F.col("class_b")) & near).select("class_a", "class_b")
     # a record without lines is near one with a single line, of which it has no feature: their numbers alone must do
     bare, single = rows.where("size(lines) = 0").mapInArrow(_bands(3, True), kind), rows.where("size(lines) < 2").mapInArrow(_bands(3, True), kind)
     lone = side(bare, "a").join(side(single, "b"), "key").where((F.col("class_a") != F.col("class_b")) & near).select(F.least("class_a", "class_b"), F.greatest("class_a", "class_b"))

@@ -166,6 +166,13 @@ def test_entered_again(spark):
     assert near_duplicates.duplicate_pairs(members, links).count() == 0
 
 
+def test_sorted_join_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(f"i{k:03}", f"A-{100200 + k // 3}", "V", None, 5000 + k % 3, [f"line number {k // 3} of the bill"], 1, "x") for k in range(30)], RECORD)
+    hashed = rows(near_duplicates.duplicate_pairs(*near_duplicates.entered_again(df)))
+    monkeypatch.setattr(near_duplicates, "HASHED_ROWS", 0)
+    assert rows(near_duplicates.duplicate_pairs(*near_duplicates.entered_again(df))) == hashed and len(hashed) >= 30
+
+
 def test_copies_are_one_class(spark):
     df = spark.createDataFrame([(f"i{k:03}", "A-100200", "V", None, 5000, ["same line"], 1, "x") for k in range(60)], RECORD)
     members, links = near_duplicates.entered_again(df)
