@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgersift.functions.fuzzy import token_sort_ratio
 from ledgersift.functions.text import jaccard, normalize_address, normalize_phone, normalize_vendor_name, words_of
+from ledgersift.session import written
 
 
 def bucketed(df: DataFrame, amount: str, share: float, day: str | None = None, days: int = 0) -> DataFrame:
@@ -86,18 +89,83 @@ def credits_and_rebills(invoices: DataFrame, share: float = 0.01) -> DataFrame:
     return credits.unionAll(billed).distinct()
 
 
+def near_texts(texts: DataFrame, column: str, least: float = 90, q: int = 3) -> DataFrame:
+    """(text_a, text_b, ratio), text_a < text_b: different texts whose token sort ratio is at least `least` (above 80), none left out.
+
+    Texts with that ratio are few insertions and deletions apart. A deletion takes at most q of a text's q-grams away and an insertion
+    q - 1, so if each text is filed under one gram more than can be lost, its rarest, the rarest that a pair keeps is in both files, and
+    moved by no more places than there are deletions or insertions. One of these changes at most one of the 128 bits that stand for a
+    text's characters, counted.
+    """
+    r = least / 100
+    t = texts.select(F.col(column).alias("text")).where("text <> ''").distinct().withColumn("id", F.monotonically_increasing_id())
+    t = written(t.withColumn("sorted", F.array_join(F.array_sort(F.filter(F.split("text", r"\s+"), lambda w: w != "")), " ")).withColumn("n", F.length("sorted")), "texts")
+    each = F.expr("transform(sequence(1, n), i -> pmod(xxhash64(substring(sorted, i, 1), i - length(replace(substring(sorted, 1, i), substring(sorted, i, 1), ''))), 128))")
+    bits = [F.expr(f"aggregate(filter(each, h -> h div 64 = {k}), 0L, (x, h) -> x | shiftleft(1L, cast(h % 64 as int)))").alias(f"bits{k}") for k in (0, 1)]
+    grams = t.where(F.col("n") >= q).withColumn("each", each).select("id", "n", *bits, F.posexplode(F.expr(f"transform(sequence(1, n - {q - 1}), i -> substring(sorted, i, {q}))")).alias("at", "gram"))
+    filed = written(grams, "grams")
+    rarity = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    lost = F.floor(F.col("n") * (q - (q - 0.5) * r + (q - 1 - (q - 0.5) * r) * r / (2 - r)) + 1e-6)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "gram", "at"))
+    first = filed.join(rarity, "gram").withColumn("rank", rank).where((F.col("rank") <= lost + 1) & (F.col("times") > 1))
+    a, b = (first.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "bits0", "bits1")]) for s in "ab")
+    kept = (F.col("n_a") + F.col("n_b")) * (r / 2) - 1e-6
+    moved = F.col("at_a") - F.col("at_b")
+    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= kept) & (moved <= F.col("n_a") - kept) & (-moved <= F.col("n_b") - kept)
+    changed = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
+    near = near & (changed <= (F.col("n_a") + F.col("n_b")) * (1 - r) + 1e-6)
+    found = a.join(b, "gram").where(near).select("id_a", "id_b").distinct()
+    x, y = (t.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"x_{s}")) for s in "ab")
+    scored = found.join(x, "id_a").join(y, "id_b").withColumn("ratio", token_sort_ratio("x_a", "x_b")).where(F.col("ratio") >= least)
+    return scored.select(F.least("x_a", "x_b").alias("text_a"), F.greatest("x_a", "x_b").alias("text_b"), "ratio")
+
+
+def _master(vendors: DataFrame) -> DataFrame:
+    """The signals of each vendor; fillers (empty, none, n/a, unknown, zeros) are no value."""
+    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "none", "n/a", "na", "unknown", "tbd", "0000", "-") & ~F.trim(c).rlike(r"^[0-]+$"), F.lower(F.trim(c)))
+    return vendors.select(
+        "vendor_id", clean("bank_account_last4").alias("bank"), normalize_address(F.col("address")).alias("address"), F.nullif(normalize_phone(F.col("phone")), F.lit("")).alias("phone"),
+        clean("tax_id").alias("tax"), normalize_vendor_name(F.col("vendor_name")).alias("name"), clean("contact_person").alias("contact"),
+    )
+
+
 def related_vendors(vendors: DataFrame, least: float = 0.6) -> DataFrame:
     """(vendor_a, vendor_b, score) of vendors that share master data.
 
-    An equal bank number or nearly equal address is worth .65, an equal phone or tax number .15 each, a similar name up to .15, an
+    An equal bank number is worth .65, an address .65 from a token sort ratio of 90 and .35 times the ratio from 75, an equal phone or tax
+    number .15 each, a similar name up to .15, an equal contact .10. Without an equal bank number or an address from 90, a pair reaches `least`
+    (.6 or more) only with an equal phone or tax number, so those four are joined on keys, never all against all, and none is lost.
+    """
+    v = written(_master(vendors), "vendors")
+    full = ["bank", "address", "phone", "tax", "name", "contact"]
+    a, b = (v.select(*[F.col(c).alias(f"{c}_{s}") for c in ("vendor_id", *full)]) for s in "ab")
+    ordered = F.col("vendor_id_a") < F.col("vendor_id_b")
+    long = F.length("address_a") >= 5
+    ids = ["vendor_id_a", "vendor_id_b"]
+    on = lambda c: (F.col(f"{c}_a") == F.col(f"{c}_b")) & ordered
+    near = near_texts(v, "address").drop("ratio")
+    near = near.unionAll(near.select("text_b", "text_a"))
+    by_address = a.join(near, F.col("address_a") == F.col("text_a")).join(b, (F.col("address_b") == F.col("text_b")) & ordered).where(long)
+    fits = long & (F.least(F.length("address_a"), F.length("address_b")) * 200 >= (F.length("address_a") + F.length("address_b")) * 75)
+    keyed = [a.join(b, on("bank")), a.join(b, on("address")).where(long), by_address, a.join(b, on("phone")).where(fits), a.join(b, on("tax")).where(fits)]
+    pairs = reduce(DataFrame.unionAll, [x.select(*ids) for x in keyed]).distinct()
+    equal = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
+    ratios = pairs.join(a, "vendor_id_a").join(b, "vendor_id_b").withColumns({"at": token_sort_ratio("address_a", "address_b") / 100, "named": token_sort_ratio("name_a", "name_b") / 100})
+    score = (
+        F.when(long & (F.col("at") >= 0.9), 0.65).when(long & (F.col("at") >= 0.75), F.col("at") * 0.35).otherwise(0.0) + F.when(equal("bank"), 0.65).otherwise(0.0) + F.when(equal("phone"), 0.15).otherwise(0.0)
+        + F.when(equal("tax"), 0.15).otherwise(0.0) + F.when(equal("contact"), 0.10).otherwise(0.0) + F.when(F.col("named") >= 0.5, F.col("named") * 0.15).otherwise(0.0)
+    )
+    return ratios.select(F.col("vendor_id_a").alias("vendor_a"), F.col("vendor_id_b").alias("vendor_b"), F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
+def related_by_equality(vendors: DataFrame, least: float = 0.6) -> DataFrame:
+    """(vendor_a, vendor_b, score) as the SQL of vendor_relationships has it; related_vendors has the whole rule.
+
+    An equal bank number or equal address is worth .65, an equal phone or tax number .15 each, a similar name up to .15, an
     equal contact .10. All other signals together stay below `least`, so every pair has an equal bank number or shares an
     address: only those are joined, on keys, never all against all. Fillers (empty, none, n/a, unknown, zeros) are no value.
     """
-    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "none", "n/a", "na", "unknown", "tbd", "0000", "-") & ~F.trim(c).rlike(r"^[0-]+$"), F.lower(F.trim(c)))
-    v = vendors.select(
-        "vendor_id", clean("bank_account_last4").alias("bank"), normalize_address(F.col("address")).alias("address"), F.nullif(normalize_phone(F.col("phone")), F.lit("")).alias("phone"),
-        clean("tax_id").alias("tax"), words_of(normalize_vendor_name(F.col("vendor_name"))).alias("name"), clean("contact_person").alias("contact"),
-    )
+    v = _master(vendors).withColumn("name", words_of(F.col("name")))
     full = ["bank", "address", "phone", "tax", "name", "contact"]
     a, b = (v.select(*[F.col(c).alias(f"{c}_{s}") for c in ("vendor_id", *full)]) for s in "ab")
     equal = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))

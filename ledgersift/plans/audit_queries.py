@@ -395,6 +395,13 @@ def _related_sql() -> str:
 
 @query(_related_sql())
 def vendor_relationships(spark, folder):
+    """What its SQL says: equal values only, an equal bank number only beside another sign. related_vendor_pairs has the whole rule."""
+    return pairs.related_by_equality(vendors(spark, folder))
+
+
+@query()
+def related_vendor_pairs(spark, folder):
+    """Related vendors by the survey's whole rule, with near addresses and names."""
     return pairs.related_vendors(vendors(spark, folder))
 
 

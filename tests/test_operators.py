@@ -45,6 +45,31 @@ def test_related_vendors(spark):
     assert [(a, b) for a, b, _ in rows(pairs.related_vendors(df))] == [("A", "B"), ("A", "C")]
 
 
+def test_related_vendors_are_all_found(spark):
+    """Against all pairs: equal bank numbers without another sign, near addresses, an address from 75 with two other signs."""
+    import random
+
+    from ledgersift.functions.fuzzy import token_sort_ratio_of
+
+    kind = "vendor_id string, vendor_name string, address string, phone string, tax_id string, bank_account_last4 string, contact_person string"
+    data = [
+        ("A", "Acme Steel", "4637 nesaskstome terrace fros heights", "555", "T1", "1111", "Ann"), ("B", "Bolt Works", "12 elm grove road", "556", "T2", "1111", "Bob"),
+        ("C", "Quill Press", "4637 nesakstome terrace fros heights", "557", "T3", "2222", "Cid"), ("D", "Quill Presss", "4637 nesakstome tarn fros heights", "557", "T3", "3333", "Dan"),
+    ]
+    got = {(x, y): z for x, y, z in rows(pairs.related_vendors(spark.createDataFrame(data, kind)))}
+    assert set(got) == {("A", "B"), ("A", "C"), ("C", "D")} and 0.6 <= got["C", "D"] < 0.8
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(2, 5))) for _ in range(r.randint(1, 6))) for _ in range(200)]
+    for x in list(texts):
+        y = list(x)
+        for _ in range(r.randint(1, 3)):
+            y[r.randrange(len(y))] = r.choice("abc ")
+        texts.append("".join(y).strip())
+    texts = sorted({x for x in texts if x})
+    wanted = sorted((x, y) for k, x in enumerate(texts) for y in texts[k + 1 :] if token_sort_ratio_of(x, y) >= 90)
+    assert len(wanted) > 20 and rows(pairs.near_texts(spark.createDataFrame([(x,) for x in texts], "x string"), "x").select("text_a", "text_b")) == wanted
+
+
 def series(spark, data):
     return spark.createDataFrame([("V", "i", D0 + timedelta(30 * k), float(p), float(q), k) for k, (p, q) in enumerate(data)], "vendor string, item string, day date, price double, quantity double, seq int")
 
