@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgersift.functions.fuzzy import token_sort_ratio
+from ledgersift.functions.fuzzy import ratio, token_sort_ratio
 from ledgersift.functions.text import jaccard, normalize_address, normalize_phone, normalize_vendor_name, words_of
 from ledgersift.session import written
 
@@ -76,6 +76,52 @@ def cross_order_pairs(invoices: DataFrame, flagged: DataFrame, days: int = 30, s
     return alike.join(known, ["invoice_id_a", "invoice_id_b"], "left_anti")
 
 
+def _described(found: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Pairs with the descriptions of both sides, which do not go through the join of the buckets."""
+    x, y = (invoices.select(F.col("invoice_id").alias(f"invoice_id_{s}"), F.col("description").alias(f"description_{s}")) for s in "ab")
+    return found.join(x, "invoice_id_a").join(y, "invoice_id_b")
+
+
+def similar_invoices(invoices: DataFrame, days: int = 90, share: float = 0.2, least: float = 0.85) -> DataFrame:
+    """(invoice_id_a, invoice_id_b, vendor_id, score): duplicate_pairs with the ratios of the texts, so that a slip costs its letters, not its word.
+
+    invoices: invoice_id, vendor_id, invoice_date, total_amount, po_number, description and quantities (array). Order numbers count as equal from
+    a ratio of 90. Missing text, quantities or order numbers count half. Texts are compared only where the rest can still reach `least`.
+    """
+    size = F.length(F.trim(F.coalesce("description", F.lit(""))))
+    kept = invoices.where("total_amount > 0 and vendor_id is not null").withColumn("size", size)
+    a, b = _sides(bucketed(kept, "total_amount", share, "invoice_date", days), "invoice_id", "invoice_date", "total_amount", "po_number", "size", "quantities")
+    gap = F.date_diff("invoice_date_b", "invoice_date_a")
+    diff = F.abs(F.col("total_amount_a") - F.col("total_amount_b")).cast("double") / F.greatest("total_amount_a", "total_amount_b").cast("double")
+    first = (F.col("invoice_date_a") < F.col("invoice_date_b")) | (F.col("invoice_date_a") == F.col("invoice_date_b")) & (F.col("invoice_id_a") < F.col("invoice_id_b"))
+    counts = F.when((F.size("quantities_a") == 0) | (F.size("quantities_b") == 0), 0.5).otherwise(jaccard(F.col("quantities_a"), F.col("quantities_b")))
+    rest = step(diff, (0.01, 1.0), (0.05, 0.8), (0.10, 0.5)) * 0.30 + step(gap, (0, 1.0), (7, 0.8), (30, 0.5), (90, 0.2)) * 0.15 + counts * 0.10
+    no_text, no_order = (F.col("size_a") == 0) | (F.col("size_b") == 0), F.col("po_number_a").isNull() | F.col("po_number_b").isNull()
+    most = F.when(no_text, 0.15).otherwise(0.30) + F.when(no_order, 0.075).otherwise(0.15)
+    near = a.join(b, ["vendor_id", "_amount_bucket", "_day_bucket"]).where(first & (gap <= days) & (diff <= share)).withColumns({"rest": rest, "no_text": no_text, "no_order": no_order})
+    near = near.where(F.col("rest") + most >= least - 1e-6).select("invoice_id_a", "invoice_id_b", "vendor_id", "po_number_a", "po_number_b", "rest", "no_text", "no_order")
+    # a pair can share several buckets
+    near = _described(near.dropDuplicates(["invoice_id_a", "invoice_id_b"]), invoices)
+    near = near.withColumns({"alike": token_sort_ratio("description_a", "description_b") / 100, "order": ratio("po_number_a", "po_number_b")})
+    score = F.col("rest") + F.when(F.col("no_text"), 0.5).otherwise(F.col("alike")) * 0.30 + F.when(F.col("no_order"), 0.5).otherwise((F.col("order") >= 90).cast("double")) * 0.15
+    return near.select("invoice_id_a", "invoice_id_b", "vendor_id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
+def similar_across_orders(invoices: DataFrame, flagged: DataFrame, days: int = 30, share: float = 0.1, least: float = 0.85) -> DataFrame:
+    """cross_order_pairs with the token sort ratio of the texts."""
+    kept = invoices.where("total_amount > 0 and vendor_id is not null and po_number is not null and trim(description) <> ''")
+    words = F.array_sort(F.filter(F.split("description", r"\s+"), lambda w: w != ""))
+    keyed = bucketed(kept.withColumn("size", F.length(F.array_join(words, " "))), "total_amount", share, "invoice_date", days)
+    a, b = _sides(keyed, "invoice_id", "invoice_date", "total_amount", "po_number", "size")
+    diff = F.abs(F.col("total_amount_a") - F.col("total_amount_b")).cast("double") / F.greatest("total_amount_a", "total_amount_b").cast("double")
+    near = a.join(b, ["vendor_id", "_amount_bucket", "_day_bucket"]).where((F.col("invoice_id_a") < F.col("invoice_id_b")) & (F.col("po_number_a") != F.col("po_number_b")) & (F.abs(F.date_diff("invoice_date_b", "invoice_date_a")) <= days) & (diff <= share))
+    # the common part is at most the shorter text
+    near = near.where(F.least("size_a", "size_b") * 2 >= (F.col("size_a") + F.col("size_b")) * (least - 1e-9)).select("vendor_id", "invoice_id_a", "invoice_id_b").distinct()
+    known = flagged.select(F.least("invoice_id_a", "invoice_id_b").alias("invoice_id_a"), F.greatest("invoice_id_a", "invoice_id_b").alias("invoice_id_b"))
+    near = _described(near.join(known, ["invoice_id_a", "invoice_id_b"], "left_anti"), invoices)
+    return near.withColumn("alike", token_sort_ratio("description_a", "description_b") / 100).where(F.col("alike") >= least).select("vendor_id", "invoice_id_a", "invoice_id_b")
+
+
 def credits_and_rebills(invoices: DataFrame, share: float = 0.01) -> DataFrame:
     """(invoice_id, side): credits with an invoice of the same vendor of nearly the amount, and those invoices: two semi-joins."""
     keyed = bucketed(invoices.where("total_amount <> 0 and vendor_id is not null").select("invoice_id", "vendor_id", "total_amount"), "total_amount", share)

@@ -367,6 +367,28 @@ def cross_po_duplicates(spark, folder):
     return pairs.cross_order_pairs(docs, pairs.duplicate_pairs(docs), least=0.5)
 
 
+def _described(spark, folder):
+    """Invoices with the text of their lines, in line order, and their quantities."""
+    ls = lines(spark, folder, "invoice_id", "line_item_description", "quantity").withColumn("unit_price", F.lit(None).cast("double"))
+    parts = groups.collapse(ls.withColumn("line_item_description", blank_to_null("line_item_description")), ["invoice_id"])
+    parts = parts.select("invoice_id", F.col("descriptions").alias("description"), F.array_distinct(F.array_compact("quantities")).alias("quantities"))
+    h = headers(spark, folder, "vendor_id", "invoice_date", "total_amount", "po_number").withColumn("po_number", blank_to_null("po_number"))
+    return written(h.join(parts, "invoice_id"), "described")
+
+
+@query()
+def similar_invoice_pairs(spark, folder):
+    """Probable duplicates by the survey's text and order ratios; fuzzy_duplicate_pairs counts whole words, as its SQL does."""
+    return pairs.similar_invoices(_described(spark, folder))
+
+
+@query()
+def similar_cross_po_pairs(spark, folder):
+    """Like work under two order numbers by the survey's text ratio; cross_po_duplicates counts whole words, as its SQL does."""
+    docs = _described(spark, folder)
+    return pairs.similar_across_orders(docs, pairs.similar_invoices(docs))
+
+
 @query(f"""WITH {_HEADERS}, h AS (SELECT *, CAST(total_amount AS DOUBLE) AS amount, round_even(CAST(total_amount AS DOUBLE), -2) AS bucket FROM headers WHERE vendor_id IS NOT NULL AND invoice_date IS NOT NULL AND total_amount > 0),
   g AS (SELECT *, invoice_date - lag(invoice_date) OVER (PARTITION BY vendor_id, bucket ORDER BY invoice_date, invoice_id) AS gap FROM h),
   x AS (SELECT vendor_id, bucket, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) / count(*) AS m, avg(gap) AS gm, min(amount) AS lo, max(amount) AS hi, min(gap) AS gs, max(gap) AS gl FROM g GROUP BY 1, 2)

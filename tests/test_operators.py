@@ -24,6 +24,24 @@ def test_duplicate_pairs(spark):
     assert pairs.duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_similar_invoices(spark):
+    """A slip in a word or in an order number costs its letters only; words counted whole lose these pairs."""
+    kind = HEAD.replace("words array<string>", "description string")
+    row = lambda i, text, po, day=0, amount=1000: (i, "V1", D0 + timedelta(day), Decimal(amount), po, text, [1.0])
+    data = [
+        row("a", "Copper gutter", "PO-1002000"), row("b", "Cop. gutter", "PO-1002000", 20), row("c", "gutter Coper", "PO-1002001", 3), row("d", "Crane hire", "X", 1), row("e", "Copper gutters", "Q-7", 2, 1005),
+        row("f", None, None, 2),
+    ]
+    df = spark.createDataFrame(data, kind)
+    got = pairs.similar_invoices(df)
+    assert {("a", "b"), ("a", "c")} <= {(r.invoice_id_a, r.invoice_id_b) for r in got.collect()} and got.where("'d' in (invoice_id_a, invoice_id_b)").count() == 0
+    words = df.withColumn("words", F.split(F.lower("description"), " "))
+    assert pairs.duplicate_pairs(words.where("invoice_id in ('a', 'b')")).count() == 0
+    none = spark.createDataFrame([], "invoice_id_a string, invoice_id_b string")
+    across = pairs.similar_across_orders(df, none).select("invoice_id_a", "invoice_id_b")
+    assert ("a", "e") in rows(across) and not any("d" in x or "f" in x for x in rows(across))
+
+
 def test_cross_order_pairs(spark):
     df = spark.createDataFrame([inv("a", po="P1"), inv("b", 1010, 5, po="P2"), inv("c", 1010, 5, po="P1")], HEAD)
     none = spark.createDataFrame([], "invoice_id_a string, invoice_id_b string")
