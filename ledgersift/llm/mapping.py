@@ -85,6 +85,7 @@ class Matcher:
         self.entries = [(i, [t for t in tokens(text) if t not in FILLERS]) for i, text in entries]
         self.entries += [(i, [t for t in tokens(text) if t not in FILLERS]) for text, i in names.items()]
         self.least, self.words, self.context = least, words, set(context)
+        self.ranked: dict[str, tuple[float, int]] = {}
         df = Counter(t for _, ts in self.entries for t in set(ts))
         n = len(self.entries)
         self.idf = {t: math.log(1 + n / k) for t, k in df.items()}
@@ -131,10 +132,21 @@ class Matcher:
             i += 1
         return out
 
-    def best(self, text: str) -> int:
+    def best(self, text: str, lead: str = "") -> int:
+        """The entry of the text, or of lead and text where the lead has a word of the list and that fits better."""
+        if text not in self.ranked:
+            self.ranked[text] = self.rank(text)
+        fit, entry = self.ranked[text]
+        if lead and any(self.near(t) for t in tokens(lead) if t not in FILLERS and t not in self.context):
+            whole, other = self.rank(f"{lead} {text}")
+            if whole > fit + 1e-9:
+                return other
+        return entry
+
+    def rank(self, text: str) -> tuple[float, int]:
         typed = [t for t in tokens(text) if t not in FILLERS and t not in self.context and not (t.isdigit() and len(t) > 4)]
         if not typed:
-            return UNMATCHED
+            return 0.0, UNMATCHED
         cover = self.repaired(typed)
         sums: Counter[int] = Counter()
         for e in {k for _, found in cover for w in found for k in self.holders[w]}:
@@ -164,16 +176,16 @@ class Matcher:
                 continue
             sums[e] = dot / (self.norm[e] * math.sqrt(size)) if size else 0.0
         if not sums:
-            return UNMATCHED
+            return 0.0, UNMATCHED
         top = max(sums.values())
         if top < self.least:
-            return UNMATCHED
+            return 0.0, UNMATCHED
         winners = {self.entries[e][0] for e, s in sums.items() if s >= top - 1e-9}
-        return winners.pop() if len(winners) == 1 else UNMATCHED
+        return (top, winners.pop()) if len(winners) == 1 else (0.0, UNMATCHED)
 
 
 def map_values(
-    values: DataFrame, reference: DataFrame, entry_id: str, entry_text: str, wrappers: list[str], words: dict[str, str] | None = None, context: list[str] | None = None, names: dict[str, str] | None = None, least: float = 0.72
+    values: DataFrame, reference: DataFrame, entry_id: str, entry_text: str, wrappers: list[str], words: dict[str, str] | None = None, context: list[str] | None = None, names: dict[str, str] | None = None, least: float = 0.72, place: str | None = None
 ) -> DataFrame:
     """(record_source, record_key, entry_id) for values (record_source, record_key, value); entry_id is -1 without an entry.
 
@@ -182,6 +194,9 @@ def map_values(
     digits must be equal. The corrected tokens are combined by soft TF-IDF cosine, an unmatched token counting against every entry; the best
     entry wins if it reaches `least` and is alone at the top, and all its tokens with digits are present.
 
+    What `place` finds at the start of a text may be a place or the item's own words: the text is ranked without it, and with it if a word of it
+    is in the list.
+
     Null values, blank ones and null keys have no row; equal rows give one row; other columns are ignored. An empty reference leaves
     everything unmatched. The reference is a fixed list; more than MOST_ENTRIES entries are refused, as the list is sent to each task.
     """
@@ -193,19 +208,24 @@ def map_values(
 
     def run(batches):
         matcher = Matcher(sorted(listed), words or {}, context or [], other, least)
-        schema = pa.schema([("core", pa.string()), ("entry_id", pa.int32())])
+        schema = pa.schema([("core", pa.string()), ("lead", pa.string()), ("entry_id", pa.int32())])
         for x in batches:
-            yield batch({"core": x.column(0), "entry_id": [matcher.best(t) for t in x.column(0).to_pylist()]}, schema)
+            matcher.ranked.clear()
+            yield batch({"core": x.column(0), "lead": x.column(1), "entry_id": [matcher.best(t, l) for t, l in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]}, schema)
 
     lines = values.where(F.col("record_key").isNotNull() & (F.trim(F.regexp_replace("value", r"(?U)\s", "")) != "")).select("record_source", "record_key", core_text("value", wrappers).alias("core"))
+    lead = F.trim(F.regexp_extract("core", place, 0)) if place else F.lit("")
+    lines = lines.withColumn("lead", lead)
+    if place:
+        lines = lines.withColumn("core", F.trim(F.regexp_replace("core", place, "")))
     lines = written(lines.distinct(), "cores")  # the surroundings are taken off once, for both uses
-    mapped = spread(lines.select("core").distinct()).mapInArrow(run, "core string, entry_id int")
-    return lines.join(mapped, "core").select("record_source", "record_key", "entry_id").distinct()
+    mapped = spread(lines.select("core", "lead").distinct(), "core").mapInArrow(run, "core string, lead string, entry_id int")
+    return lines.join(mapped, ["core", "lead"]).select("record_source", "record_key", "entry_id").distinct()
 
 
 def map_items(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Typed item texts (record_source, record_key, value) to item_list."""
-    return map_values(lines, items, "item_id", "item_name", WRAPPERS, ITEM_WORDS, CONTEXT_WORDS)
+    return map_values(lines, items, "item_id", "item_name", WRAPPERS[:-1], ITEM_WORDS, CONTEXT_WORDS, place=WRAPPERS[-1])
 
 
 def map_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:

@@ -90,12 +90,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return back
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """df in as many parts as the session's shuffles have: for rows that are small but dear to work on.
 
     After an ordinary shuffle small parts are merged by their size alone, which would leave few tasks to do all the work.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def discard(df: DataFrame) -> None:

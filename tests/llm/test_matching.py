@@ -205,6 +205,14 @@ def test_map_values(spark):
     assert mapping.map_items(df.limit(0), items).count() == 0
 
 
+def test_item_words_before_a_dash_are_kept(spark):
+    """Words before a dash are taken off as a place only where the rest fits the list better."""
+    items = spark.createDataFrame([(1, "Recycling collection mixed"), (2, "Attorney consultation associate"), (3, "Copper gutter")], "item_id int, item_name string")
+    df = spark.createDataFrame([("s", "a", "recyclimg collection - mixed"), ("s", "b", "Attorney consultation - associate"), ("s", "c", "Elm Heights - copper gutter"), ("s", "d", "Elm Heights - zzzzz")], "record_source string, record_key string, value string")
+    assert rows(mapping.map_items(df, items)) == [("s", "a", 1), ("s", "b", 2), ("s", "c", 3), ("s", "d", -1)]
+
+
+
 def brute_components(edges):
     parent = {}
 
