@@ -20,15 +20,16 @@ TOLERANCE = 0.02
 #: Slips allowed in an invoice number.
 SLIPS = 2
 #: Permutations of the features; each gives two bands, by its least and by its largest value.
-PERMUTATIONS = 6
+PERMUTATIONS = 8
+#: Permutations for pairs with a record whose vendor is not known, which cannot be kept to one vendor.
+OPEN_PERMUTATIONS = 4
+#: Numbers up to this length are also joined without a value of their own: two slips leave too little of them.
+SHORT_NUMBER = 5
 #: Bigrams that two lines must share (Dice) to be one line with small edits.
 SAME_LINE = 0.7
 #: Width of an amount bucket, in tolerances; only amounts next to a bound are put into two.
 WIDTH = 4
 
-#: Band rows of one partition that may be hashed in memory.
-HASHED_ROWS = 1_500_000
-
 # What is added to a line that is entered again.
 ADDED = re.compile(r"\s*(?:\(copy\)|-\s+resent|,\s*as agreed|p\.quote|\.)\s*$")
 _ENDS = re.compile(r"^[^0-9]+|[^0-9]+$")
@@ -36,8 +37,14 @@ _MARKS = re.compile(r"[\W_]+")
 
 
 def plain_number(text: str | None) -> str:
-    """An invoice number without letters and marks around it, separators, blanks, case and leading zeros."""
-    return _MARKS.sub("", _ENDS.sub("", fold(text))).lstrip("0") if text else ""
+    """An invoice number without letters and marks around it, separators, blanks, case and leading zeros.
+
+    Where nothing is left of it (no digit but zeros), the text itself without marks and case.
+    """
+    if not text:
+        return ""
+    bare = _MARKS.sub("", fold(text))
+    return _MARKS.sub("", _ENDS.sub("", fold(text))).lstrip("0") or bare.lstrip("0") or bare
 
 
 def plain_line(text: str) -> str:
@@ -148,27 +155,40 @@ def _buckets(cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return record, np.where(size[record] == 0, 0, 2 * bucket + (cents[record] > 0) + 2)
 
 
-def _bands(permutations: int, by_number: bool = False):
-    """Band keys of records; by_number: of their numbers alone."""
+def _bands(permutations: int, how: str):
+    """Band keys of records (class, number, vendor, cents, lines), within their amount buckets.
+
+    how: `vendor`, of the number, the lines and the vendor, and for short numbers of the lines and the vendor alone; `open`, of
+    the number and the lines; `number`, of the number alone.
+    """
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("number", pa.string()), ("vendor", pa.int32()), ("cents", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("number", pa.string())])
         for x in batches:
-            classes, numbers, vendors, all_cents, lines = (c.to_pylist() for c in x.columns)
+            numbers, vendors, all_cents, lines = (x.column(i).to_pylist() for i in range(1, 5))
             for first, end in pieces([sum(map(len, t)) + 1 for t in lines], 2_000_000):
                 part = range(first, end)
-                n_least, n_most = min_max([f"^{numbers[i]}$" for i in part], 2, permutations, 1)
-                if by_number:
-                    keys = [_mix(n + np.uint64(977 + k)) for k, n in enumerate((*n_least, *n_most))]
+                numbered = min_max([f"^{numbers[i]}$" for i in part], 2, permutations, 1)
+                if how == "number":
+                    keys = [_mix(n + np.uint64(977 + k)) for k, n in enumerate(np.concatenate(numbered))]
                 else:  # a band takes one value of the number and one of the lines
-                    d_least, d_most = min_max(["\n".join(lines[i]) for i in part], 3, permutations, 2)
-                    keys = [_mix(n * np.uint64(31) + _mix(d + np.uint64(2 * p + top))) for top, (ns, ds) in enumerate(((n_least, d_least), (n_most, d_most))) for p, (n, d) in enumerate(zip(ns, ds, strict=True))]
+                    lined = min_max(["\n".join(lines[i]) for i in part], 3, permutations, 2)
+                    said = [_mix(d + np.uint64(2 * p + top)) for top in (0, 1) for p, d in enumerate(lined[top])]
+                    keys = [_mix(n * np.uint64(31) + d) for n, d in zip(np.concatenate(numbered), said, strict=True)]
                 record, bucket = _buckets(np.array(all_cents[first:end], np.int64))
                 salt = _mix(bucket.astype(np.uint64) + np.uint64(11))
+                if how == "vendor":
+                    salt ^= _mix(np.array(vendors[first:end], np.int64).view(np.uint64) + np.uint64(5))[record]
                 # rows of one record stand side by side, which compresses far better in the shuffle
-                key = np.stack([k[record] ^ salt for k in keys], axis=1).ravel().view(np.int64)
-                at = pa.array(np.repeat(record, len(keys)) + first)
-                yield batch({"key": key, "class": x.column(0).take(at), "number": x.column(1).take(at), "vendor": x.column(2).take(at), "cents": x.column(3).take(at)}, schema)
+                key, at = np.stack([k[record] ^ salt for k in keys], axis=1).ravel(), np.repeat(record, len(keys))
+                if how == "vendor":
+                    long = np.array([len(numbers[i]) >= SHORT_NUMBER - 1 for i in part])
+                    short = np.flatnonzero(np.array([len(numbers[i]) <= SHORT_NUMBER for i in part])[record])
+                    key, at = key[long[at]], at[long[at]]
+                    key = np.concatenate((key, np.stack([_mix(d[record[short]] + np.uint64(3)) ^ salt[short] for d in said], axis=1).ravel()))
+                    at = np.concatenate((at, np.repeat(record[short], len(said))))
+                at = pa.array(at + first)
+                yield batch({"key": key.view(np.int64), "class": x.column(0).take(at), "number": x.column(1).take(at)}, schema)
 
     return run
 
@@ -197,7 +217,7 @@ def invoice_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
+def entered_again(records: DataFrame, permutations: int = PERMUTATIONS, open_permutations: int = OPEN_PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, class) puts exact copies into one class; links (a, b) are pairs of classes that are near.
 
     Records (id, number, vendor, name, cents, lines) are near if their vendor is the same, their numbers differ by at most SLIPS
@@ -205,38 +225,37 @@ def entered_again(records: DataFrame, permutations: int = PERMUTATIONS) -> tuple
     lines by small edits and at most one line.
 
     Features are the bigrams of the number and the trigrams of the lines. Each permutation gives two bands, from the least and the
-    largest value; a band joins one value of the number with one of the lines, within a bucket of amounts. Records that
-    share a band are candidates, thinned out inside the join by vendor, amount and a bound on the edits, and then compared exactly. Near
+    largest value; a band joins one value of the number with one of the lines, within a vendor and a bucket of amounts. Records that
+    share a band are candidates, thinned out inside the join by a bound on the edits of the numbers, and then compared exactly. Near
     records are found with a probability of 1 - (1 - s t) ** (2 * permutations) for the similarities s and t of
-    their numbers and lines.
+    their numbers and lines. Numbers of up to SHORT_NUMBER characters, of which two slips leave little, are also joined by vendor,
+    amount and lines alone, with 1 - (1 - t) ** (2 * permutations).
+
+    A record without a vendor may be any vendor's; two such are compared by name, and an unknown name may be any. Only these, the
+    smaller part, are joined with all records across vendors, by bands from open_permutations.
 
     Exact copies are one class before anything is paired, so a group of copies of any size costs one record. A record
-    without a number or an amount is near nothing. A record without a vendor may be any vendor's; two such are compared by
-    name, and an unknown name may be any.
+    without a number or an amount is near nothing; a number without a digit but zeros counts as it is written.
     Null ids are left out, repeated rows count once, other columns are ignored, empty tables give empty results.
     """
     given = records.where("id is not null and cents is not null and trim(number) <> ''").select("id", "number", "vendor", "name", "cents", "lines")
     described = given.mapInArrow(_describe, "id string, class bigint, number string, vendor string, name string, cents bigint, lines array<string>")
     by_class = Window.partitionBy("class").orderBy("id")
     described = written(described.withColumn("first", F.row_number().over(by_class) == 1), "records")
-    vendor = F.when(F.col("vendor").isNull(), 0).otherwise(F.hash("vendor"))
-    rows = described.where("first").select("class", "number", vendor.alias("vendor"), "cents", "lines")
-    kind = "key bigint, class bigint, number string, vendor int, cents bigint"
-    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "number", "vendor", "cents")])
-    near = (
-        ((F.col("vendor_a") == F.col("vendor_b")) | (F.col("vendor_a") == 0) | (F.col("vendor_b") == 0))
-        & (F.abs(F.col("cents_a") - F.col("cents_b")) <= F.greatest(F.abs("cents_a"), F.abs("cents_b")) * TOLERANCE)
-        & (F.levenshtein("number_a", "number_b", 2 * SLIPS) >= 0)  # a swap counts as two edits there
-    )
-    bands = rows.mapInArrow(_bands(permutations), kind)
-    # hashed partitions cannot spill, sorted ones can: hash only what is known to fit
-    share = described.where("first").count() * 2 * permutations * (1 + 1 / WIDTH) / int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = side(bands, "a").hint("shuffle_hash" if share <= HASHED_ROWS else "merge")
-    found = left.join(side(bands, "b"), "key").where((F.col("class_a") < F.col("class_b")) & near).select("class_a", "class_b")
+    rows = described.where("first").select("class", "number", F.when(F.col("vendor").isNull(), 0).otherwise(F.xxhash64("vendor")).alias("vendor"), "cents", "lines")
+    unknown = rows.where("vendor = 0")
+    bands = lambda df, how, n: df.mapInArrow(_bands(n, how), "key bigint, class bigint, number string")
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "number")])
+    near = F.levenshtein("number_a", "number_b", 2 * SLIPS) >= 0  # a swap counts as two edits there
+    pair = [F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")]
+    known = bands(rows.where("vendor <> 0"), "vendor", permutations)
+    found = side(known, "a").join(side(known, "b"), "key").where((F.col("class_a") < F.col("class_b")) & near).select(*pair)
+    free = [side(bands(df, "open", open_permutations), s) for df, s in ((unknown, "a"), (rows, "b"))]
     # a record without lines is near one with a single line, of which it has no feature: their numbers alone must do
-    bare, single = rows.where("size(lines) = 0").mapInArrow(_bands(3, True), kind), rows.where("size(lines) < 2").mapInArrow(_bands(3, True), kind)
-    lone = side(bare, "a").join(side(single, "b"), "key").where((F.col("class_a") != F.col("class_b")) & near).select(F.least("class_a", "class_b"), F.greatest("class_a", "class_b"))
-    candidates = written(found.unionAll(lone).distinct(), "candidates")
+    bare = [side(bands(rows.where(f"size(lines) < {n}"), "number", 3), s) for n, s in ((1, "a"), (2, "b"))]
+    for a, b in (free, bare):
+        found = found.unionAll(a.join(b, "key").where((F.col("class_a") != F.col("class_b")) & near).select(*pair))
+    candidates = written(found.distinct(), "candidates")
     involved = written(candidates.select(F.col("class_a").alias("class")).unionAll(candidates.select("class_b")).distinct(), "involved")
     full = written(described.where("first").join(involved, "class").select("class", "number", "vendor", "name", "cents", "lines"), "full")
     parts = ["number", "vendor", "name", "cents", "lines"]
