@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ledgersift.llm.arrow import batch
 from ledgersift.llm.strings import slips
 
-#: Dictionary words of one trie, about; shards are made by hash.
+#: Dictionary words of one trie, about; shards are made by length and hash.
 SHARD_WORDS = 40_000
+#: Probes that walk one trie in one task, about.
+BLOCK_PROBES = 5_000
 _END = ""
 
 
@@ -59,23 +61,34 @@ def neighbours(root: dict, word: str, most: int) -> list[tuple[str, int]]:
     return found
 
 
-def trie_join(probes: DataFrame, dictionary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(token, word, edits) for probes (token) and dictionary (word), both distinct strings, within slips(length) edits.
+def trie_join(probes: DataFrame, dictionary: DataFrame, shard_words: int = SHARD_WORDS, block_probes: int = BLOCK_PROBES) -> DataFrame:
+    """(token, word, edits) for probes (token) and dictionary (word), both distinct strings, within slips(length of word) edits.
 
-    The dictionary is split by hash into shards of about shard_words words, each made into one trie by one task; every probe
-    visits every shard, in blocks. The number of shards grows with the dictionary, so no task holds more. Null and empty strings are
-    left out; an empty side gives an empty result.
+    The dictionary is split by length and, within a length, by hash into shards of at most about shard_words words; the probes are
+    split by hash into blocks of about block_probes. A task makes a trie of one shard and walks it with one block; a probe visits
+    only shards of lengths it can reach. So neither side is ever held whole by a task, whatever its size, and no
+    key holds more than a shard and a block. Null and empty strings are left out; an empty side gives an empty result.
     """
     words = dictionary.select(F.col(dictionary.columns[0]).alias("word")).where("word <> ''").distinct()
-    shards = max(1, -(-words.count() // shard_words))
-    spread = words.select(F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), "word")
     asked = probes.select(F.col(probes.columns[0]).alias("token")).where("token <> ''").distinct()
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "token")
+    sizes = {r.n: r.k for r in words.groupBy(F.length("word").alias("n")).agg(F.count(F.lit(1)).alias("k")).toLocalIterator()}  # one row a length
+    blocks = max(1, -(-asked.count() // block_probes))
+    # for each length of a probe the shards (length, number) it can reach
+    reach = {n: [(m, k) for m, count in sizes.items() if abs(n - m) <= slips(m) for k in range(-(-count // shard_words))] for n in {m + d for m in sizes for d in range(-2, 3)} if n > 0}
+    of_length = F.create_map(*[x for m, k in sizes.items() for x in (F.lit(m), F.lit(-(-k // shard_words)))]) if sizes else F.lit(None).cast("map<int,int>")
+    visited = F.create_map(*[x for n, at in reach.items() if at for x in (F.lit(n), F.array(*[F.struct(F.lit(m).alias("length"), F.lit(k).alias("shard")) for m, k in at]))]) if sizes else F.lit(None).cast("map<int,array<struct<length:int,shard:int>>>")
+    own = F.pmod(F.xxhash64("word"), of_length[F.length("word")].cast("bigint")).cast("int")
+    spread = words.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.length("word").alias("length"), own.alias("shard"), "word")
+    block = F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block")
+    sent = asked.select(block, "token", F.explode(visited[F.length("token")]).alias("at")).select("block", "at.length", "at.shard", "token")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        root = build(left["word"].to_pylist()) if left.num_rows else {}
-        rows = [(t, w, e) for t in (right["token"].to_pylist() if root else []) for w, e in neighbours(root, t, slips(len(t))) if e <= slips(len(w)) + 1]
         schema = pa.schema([("token", pa.string()), ("word", pa.string()), ("edits", pa.int32())])
+        rows = []
+        if left.num_rows and right.num_rows:
+            root, most = build(left["word"].to_pylist()), slips(left["length"][0].as_py())
+            rows = [(t, w, e) for t in right["token"].to_pylist() for w, e in neighbours(root, t, most)]
         return pa.Table.from_batches([batch(dict(zip(schema.names, zip(*rows), strict=True)) if rows else dict.fromkeys(schema.names, []), schema)])
 
-    return spread.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "token string, word string, edits int")
+    keys = ["length", "shard", "block"]
+    return spread.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, "token string, word string, edits int")
