@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
 from ledgersift.llm.strings import slips
+from ledgersift.session import spread
 
 #: Dictionary words of one trie, about; shards are made by length and hash.
 SHARD_WORDS = 40_000
@@ -78,7 +79,7 @@ def trie_join(probes: DataFrame, dictionary: DataFrame, shard_words: int = SHARD
     of_length = F.create_map(*[x for m, k in sizes.items() for x in (F.lit(m), F.lit(-(-k // shard_words)))]) if sizes else F.lit(None).cast("map<int,int>")
     visited = F.create_map(*[x for n, at in reach.items() if at for x in (F.lit(n), F.array(*[F.struct(F.lit(m).alias("length"), F.lit(k).alias("shard")) for m, k in at]))]) if sizes else F.lit(None).cast("map<int,array<struct<length:int,shard:int>>>")
     own = F.pmod(F.xxhash64("word"), of_length[F.length("word")].cast("bigint")).cast("int")
-    spread = words.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.length("word").alias("length"), own.alias("shard"), "word")
+    placed = words.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.length("word").alias("length"), own.alias("shard"), "word")
     block = F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block")
     sent = asked.select(block, "token", F.explode(visited[F.length("token")]).alias("at")).select("block", "at.length", "at.shard", "token")
 
@@ -91,4 +92,6 @@ def trie_join(probes: DataFrame, dictionary: DataFrame, shard_words: int = SHARD
         return pa.Table.from_batches([batch(dict(zip(schema.names, zip(*rows), strict=True)) if rows else dict.fromkeys(schema.names, []), schema)])
 
     keys = ["length", "shard", "block"]
-    return spread.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, "token string, word string, edits int")
+    # small rows, dear walks: both sides keep the number of partitions they are given
+    placed, sent = spread(placed, *keys), spread(sent, *keys)
+    return placed.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, "token string, word string, edits int")
