@@ -10,7 +10,7 @@ from ledgersift.operators.pairs import related_vendors
 from ledgersift.session import table, written
 from ledgersift.sources.invoices import vendors
 
-SPAN, CORE = 300, 230
+SPAN = 300
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,18 +88,18 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.shared_pairs(spans.shared_spans(table(spark, folder, "documents"), SPAN))
+    return spans.shared_pairs(spans.repeated_spans(table(spark, folder, "documents"), SPAN), SPAN)
 
 
 def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return spans.shared_characters(spans.shared_spans(docs, SPAN), docs, CORE)
+    return spans.shared_characters(spans.repeated_spans(docs, SPAN), docs, SPAN).withColumn("shared_ratio", F.round("shared_ratio", 6))
 
 
 def p10_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What each document loses if only the first copy of a shared span is kept."""
     docs = table(spark, folder, "documents")
-    cut = spans.without_repeats(docs, spans.shared_spans(docs, SPAN), CORE)
+    cut = spans.without_repeats(docs, spans.repeated_spans(docs, SPAN), SPAN)
     return cut.select("doc_id", "removed", F.char_length("text").alias("kept_chars"))
 
 
@@ -127,4 +127,10 @@ SQL: dict[str, str] = {
       w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h FROM t, LATERAL (SELECT unnest(generate_series(1, length(text) - 299)) AS i)),
       r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)
       SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT * FROM w SEMI JOIN r USING (h)) a JOIN (SELECT * FROM w SEMI JOIN r USING (h)) b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_shared": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+      w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM t, LATERAL (SELECT unnest(generate_series(1, length(text) - 299)) AS i)),
+      r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+      s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT DISTINCT doc_id, i FROM w SEMI JOIN r USING (h))),
+      c AS (SELECT doc_id, sum(least(300, coalesce(j - i, 300)))::BIGINT AS shared_chars FROM s GROUP BY 1), n AS (SELECT doc_id, max(length(text)) AS n_chars FROM documents GROUP BY 1)
+      SELECT doc_id, shared_chars, n_chars, round(shared_chars::DOUBLE / n_chars, 6) AS shared_ratio FROM c JOIN n USING (doc_id)""",
 }

@@ -83,18 +83,51 @@ def test_shared_spans(spark, monkeypatch, shard):
     texts = [(i, text(rng.randrange(60)) + rng.choice([*shared, ""]) + text(rng.randrange(60)) + rng.choice([*shared, ""])) for i in range(30)]
     texts += [(50, None), (51, ""), (52, shared[0]), (53, shared[0]), (54, shared[0][3:53]), (55, text(1500) + shared[1] + text(900) + shared[0])]
     n = 40
-    got = spans.shared_spans(docs(spark, texts), n).cache()
+    got = spans.repeated_spans(docs(spark, texts), n)
     pairs, covered = brute_shared(texts, n)
-    assert set(rows(spans.shared_pairs(got))) == pairs
-    core = n - max(8, min(70, n // 4))
-    chars = {r.doc_id: r.shared_chars for r in spans.shared_characters(got, docs(spark, texts), core).collect()}
+    assert set(rows(spans.shared_pairs(got, n))) == pairs
+    chars = {r.doc_id: r.shared_chars for r in spans.shared_characters(got, docs(spark, texts), n).collect()}
     assert chars == covered
+    later = {}
+    for r in spans.shared_intervals(got, n, later_only=True).collect():
+        later[r.doc_id] = later.get(r.doc_id, 0) + r["to"] - r["from"]
+    assert later == brute_later(texts, n)
+
+
+def brute_later(texts, n):
+    """Characters of each text in runs of n that a text with a smaller id has too."""
+    seen, out = set(), {}
+    for i, t in sorted((i, t) for i, t in texts if t):
+        windows = [t[k : k + n] for k in range(len(t) - n + 1)]
+        if marked := {k + j for k, w in enumerate(windows) if w in seen for j in range(n)}:
+            out[i] = len(marked)
+        seen.update(windows)
+    return out
+
+
+def test_ten_thousand_copies(spark):
+    """Copies in another frame each: coverage and removal make no pairs."""
+    text = "This paragraph stands in all of them, word for word. It has a second sentence, and it goes on for a while."
+    d = spark.range(10_000).selectExpr("id as doc_id", f"concat('Letter ', id, '. ', '{text}', ' Signed ', id % 7, '.') as text")
+    got = spans.repeated_spans(d, 60)
+    chars = spans.shared_characters(got, d, 60)
+    assert chars.count() == 10_000 and chars.where(f"shared_chars < {len(text)}").count() == 0
+    cut = spans.without_repeats(d, got, 60)
+    assert cut.where("removed >= 2").count() == 9_999 and cut.where("doc_id = 0 and removed = 0").count() == 1
+
+
+def test_sentence_runs():
+    t = "One two. Three four five! Six. " + "x" * 30 + "\nSeven eight nine ten."
+    runs = spans.sentence_runs(t, 20)
+    assert runs == [(0, 26), (9, 31), (26, 62), (31, 83)] or all(e - s >= 20 for s, e in runs)
+    assert all(len([1 for a, b in spans.sentences(t) if s <= a and b <= e]) >= 2 for s, e in runs)
+    assert spans.sentence_runs("no sentence ends here", 5) == [] == spans.sentence_runs("", 5)
 
 
 def test_shared_spans_edges(spark):
-    assert spans.shared_spans(docs(spark, []), 40).count() == 0
+    assert spans.repeated_spans(docs(spark, []), 40).count() == 0 == spans.shared_intervals(spans.repeated_spans(docs(spark, []), 40), 40).count()
     same = "one text that is long enough to be shared by all who have it, twice"
-    assert rows(spans.shared_pairs(spans.shared_spans(docs(spark, [(1, same), (1, same), (None, same)]), 40))) == []
+    assert rows(spans.shared_pairs(spans.repeated_spans(docs(spark, [(1, same), (1, same), (None, same)]), 40), 40)) == []
 
 
 @given(st.text(alphabet="ab .!?\n", max_size=60))
@@ -107,7 +140,7 @@ def test_without_repeats(spark):
     a, b = "The first sentence is here for all to read.", "Another one follows it with many words."
     texts = [(1, f"{a} {b} Own end."), (2, f"Begin. {a} {b} More."), (3, "Nothing shared."), (4, None)]
     d = docs(spark, texts)
-    cut = {r.doc_id: (r.text, r.removed) for r in spans.without_repeats(d, spans.shared_spans(d, 60), 60 - 15).collect()}
+    cut = {r.doc_id: (r.text, r.removed) for r in spans.without_repeats(d, spans.repeated_spans(d, 60), 60).collect()}
     assert cut[1] == (texts[0][1], 0) and cut[3][1] == 0 and cut[4] == (None, 0)
     assert cut[2][0] == "Begin. More." and cut[2][1] == 2
 
