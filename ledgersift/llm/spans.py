@@ -180,11 +180,12 @@ def repeated_spans(docs: DataFrame, length: int = 300, doc_id: str = "doc_id", t
     Null texts and texts shorter than `length` share nothing; empty tables give an empty result; other columns are ignored; rows
     with the same id count as one document, so a text delivered twice under one id shares nothing with itself.
     """
-    window = window or max(8, min(70, length // 4))
+    window = window or max(8, length // 3)
     kind = dict(docs.dtypes)[doc_id]
     given = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & (F.char_length("t") >= length))
     spans = written(given.mapInArrow(_emit(length, window), f"h bigint, doc {kind}, pos int, n int"), "spans")
-    several = spans.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("h")
+    # few spans repeat; written, their number is known, and all spans are placed by hash a second time only if they are many
+    several = written(spans.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("h"), "several")
     spots = spans.join(several, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "pos", "n")).alias("spots"))  # at most the spans of one document
     context = given.join(spots, "doc").select("doc", "t", "spots").mapInArrow(_contexts(length), f"h bigint, doc {kind}, pos int, n int, digest binary, left string, right string")
     return written(context, "context")
