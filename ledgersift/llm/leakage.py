@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ledgersift.llm.arrow import batch, pieces
 
 WORD = re.compile(r"[^\W_]+")
-#: Characters of text whose suffixes form one array; a longer document is an array of its own.
+#: Characters of text whose suffixes form one array; a longer document is cut into several.
 SHARD_CHARS = 2_000_000
+#: Words that the sorted keys of one array hold together, at most.
+SHARD_KEYS = 8_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -34,6 +36,8 @@ def _searcher(items: list[tuple[int, list[str]]], span: int):
     coded = [(i, np.array([number.setdefault(w, len(number) + 1) for w in ws], np.uint32)) for i, ws in items if ws]
     needs = [min(span, len(c)) for _, c in coded]
     least, deepest = min(needs, default=1), max((len(c) for _, c in coded), default=1)
+    # suffixes are sorted by as many words as any passage must share; longer matches are found by comparison
+    width = max(needs, default=1)
     # every suffix of an item that is long enough, by the words it must share
     tests: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for (item, code), need in zip(coded, needs, strict=True):
@@ -65,7 +69,7 @@ def _searcher(items: list[tuple[int, list[str]]], span: int):
 
     def search(ids: list, texts: list) -> Iterator[tuple]:
         parts = [(i, offset, ws) for i, t in zip(ids, texts, strict=True) for offset, ws in cut(t)]
-        for first, end in pieces([len(ws) + 1 for _, _, ws in parts], SHARD_CHARS // 4):
+        for first, end in pieces([len(ws) + 1 for _, _, ws in parts], max(1, min(SHARD_CHARS // 4, SHARD_KEYS // width))):
             yield from search_parts(parts[first:end])
 
     def search_parts(parts: list) -> Iterator[tuple]:
@@ -81,18 +85,22 @@ def _searcher(items: list[tuple[int, list[str]]], span: int):
             return
         at = np.concatenate([np.arange(a, b - least + 1) for a, b in runs])
         ends = np.repeat(runs[:, 1], runs[:, 1] - runs[:, 0] - least + 1)
-        cols = at[:, None] + np.arange(deepest)[None, :]
-        matrix = np.where(cols < ends[:, None], codes[np.minimum(cols, len(codes) - 1)], 0)
+        matrix = np.zeros((len(at), width), np.uint32)
+        for k in range(width):
+            inside = at + k < ends
+            matrix[inside, k] = codes[at[inside] + k]
         keys = _keys(matrix)
+        del matrix
         order = np.argsort(keys, kind="stable")
-        keys, at, matrix = keys[order], at[order], matrix[order]
+        keys, at, ends = keys[order], at[order], ends[order]
         for need, (found, low, high) in probes.items():
             first, last = np.searchsorted(keys, low), np.searchsorted(keys, high)
             for k in np.flatnonzero(first < last):
                 item, begins, code = found[k]
                 for j in range(first[k], last[k]):
-                    same = matrix[j, : len(code)] == code
-                    n = len(code) if same.all() else int(np.argmin(same))
+                    m = min(len(code), int(ends[j] - at[j]))
+                    same = codes[at[j] : at[j] + m] == code[:m]
+                    n = m if same.all() else int(np.argmin(same))
                     d = int(np.searchsorted(starts, at[j], "right")) - 1
                     doc, offset, _ = parts[d]
                     yield item, doc, n, begins, int(at[j] - starts[d]) + offset
@@ -108,7 +116,8 @@ def find_passages(docs: DataFrame, items: DataFrame, span: int = 13, doc_id: str
     longer one are listed too, one for each suffix of the item.
 
     The documents are read once a block of items, in shards: each shard's word suffixes are sorted into an array, in which every test
-    suffix is looked up by binary search. Suffixes that leave the items' vocabulary before the shortest passage ends
+    suffix is looked up by binary search by its first `span` words; how far a match goes on is found by comparison, so memory does not grow with
+    the length of items. Suffixes that leave the items' vocabulary before the shortest passage ends
     cannot match and are left out of the array. The items, the side that does not grow, are sent to the
     tasks in blocks of at most `block` items; documents are never shuffled.
 

@@ -91,17 +91,19 @@ def fill(slots: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]
     return patterns
 
 
-def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int = GROUP) -> DataFrame:
-    """(container, doc_id, part, first_token, tokens): every document of (doc_id, tokens) in containers of `capacity` tokens.
+def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int = GROUP, mixed: bool = True) -> DataFrame:
+    """(container, doc_id, part, first_token, tokens, bucket): every document of (doc_id, tokens) in containers of `capacity` tokens.
 
     A document that alone is larger is split into full parts and a rest; all others stay whole. A document without tokens takes
     no room and goes with the first container of its group. Null ids and sizes have no row; repeated rows of an id are packed each.
 
     A global histogram of at most `capacity` sizes goes to the driver, where dynamic programming chooses the length buckets with the
-    least padding. Batches inside one bucket alone would leave nearly half of a container empty after each item just
-    over half its size, so containers take items of several buckets: the padded sizes, largest first, fill each up. Documents are
-    spread into groups of about `group` by a hash of id and size, each group is packed by one task on (id, size) pairs alone,
-    and takes the documents of a bucket in order of their id; only a group's last containers can stay emptier than the rest.
+    least padding; bucket is the bound of a document's. mixed=False forms batches inside each bucket alone, as many documents as their bucket's bound
+    allows in `capacity` tokens. That leaves nearly half of a container empty after each item just over half its size, so by default
+    a batch also takes documents of smaller buckets where room is left: the largest bucket first, then always the
+    largest that still fits. Documents are spread into groups of about `group` by a hash of id and size, each group is packed by one task on
+    (id, size) pairs alone, and takes the documents of a bucket in order of their id; only a group's last containers can stay emptier
+    than the rest.
     """
     whole = sized.where(F.col("doc_id").isNotNull() & (F.col("tokens") >= 0))
     part = F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / capacity).cast("int"))).alias("part")
@@ -114,28 +116,32 @@ def pack(sized: DataFrame, capacity: int = 2048, buckets: int = 256, group: int
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].combine_chunks()
         part_of, sizes = table["part"].to_numpy(), table["n"].to_numpy()
-        padded = bounds[np.searchsorted(bounds, sizes)] if len(bounds) else np.zeros(len(sizes), np.int64)
+        padded = np.where(sizes > 0, bounds[np.searchsorted(bounds, sizes)], 0) if len(bounds) else np.zeros(len(sizes), np.int64)
         where = defaultdict(list)
         for i in np.lexsort((part_of, pc.rank(ids).to_numpy())):
             if sizes[i]:
                 where[int(padded[i])].append(i)
         taken, n = dict.fromkeys(where, 0), np.int64(table["g"][0].as_py()) << np.int64(32)
         container = np.full(len(sizes), n)
-        for times, pattern in fill({s: len(x) for s, x in where.items()}, capacity):
+        if not mixed:
+            for s, x in sorted(where.items()):
+                container[x] = n + np.arange(len(x)) // (capacity // s)
+                n += -(-len(x) // (capacity // s))
+        for times, pattern in fill({s: len(x) for s, x in where.items()}, capacity) if mixed else ():
             for _ in range(times):
                 for s, k in pattern.items():
                     container[where[s][taken[s] : taken[s] + k]] = n
                     taken[s] += k
                 n += 1
-        return pa.table({"container": container, "doc_id": ids, "part": part_of, "first_token": part_of.astype(np.int64) * capacity, "tokens": sizes})
+        return pa.table({"container": container, "doc_id": ids, "part": part_of, "first_token": part_of.astype(np.int64) * capacity, "tokens": sizes, "bucket": padded.astype(np.int32)})
 
     grouped = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)).cast("bigint"))
-    return grouped.groupBy("g").applyInArrow(run, f"container bigint, doc_id {kind}, part int, first_token bigint, tokens int")
+    return grouped.groupBy("g").applyInArrow(run, f"container bigint, doc_id {kind}, part int, first_token bigint, tokens int, bucket int")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY, mixed: bool = True) -> DataFrame:
     """pack() of the texts of (doc_id, text). Token counts are written once, as two passes read them."""
-    return pack(written(count_tokens(docs, vocabulary=vocabulary), "tokens"), capacity)
+    return pack(written(count_tokens(docs, vocabulary=vocabulary), "tokens"), capacity, mixed=mixed)
 
 
 def container_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -71,7 +71,10 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.container_report(p8_containers(spark, folder))
+    """What stays unused if batches form inside each length bucket alone, and if they also take smaller documents."""
+    sized = written(packing.count_tokens(table(spark, folder, "documents")), "tokens")
+    forms = [packing.container_report(packing.pack(sized, mixed=mixed)).withColumn("form", F.lit(form)) for form, mixed in (("inside buckets", False), ("filled up", True))]
+    return forms[0].unionAll(forms[1]).withColumn("unused_share", F.round("unused_share", 6))
 
 
 def p9_passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,6 +192,31 @@ def test_pack(spark):
     assert report.unused_share < 0.08 and report.fullest <= 100
     assert rows(packing.pack(df, 100, 8, group=150)) == rows(packing.pack(df.repartition(7), 100, 8, group=150))
     assert packing.pack(df.limit(0), 100, 8).count() == 0
+    inside = packing.pack(df, 100, 8, group=150, mixed=False).collect()
+    assert len(inside) == len(got) and len({(r.container, r.bucket) for r in inside if r.tokens}) == len({r.container for r in inside if r.tokens})
+    full = {}
+    for r in inside:
+        full[r.container] = full.get(r.container, 0) + r.tokens
+        assert r.tokens <= r.bucket
+    assert max(full.values()) <= 100
+
+
+def test_long_items_take_little_memory(spark):
+    """An item of 5,000 words, found whole and in part."""
+    import resource
+
+    words = [f"w{k % 997}x{k}" for k in range(5000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short item here")], "item_id long, text string")
+    filler = " ".join(f"w{k % 997}x{k}" for k in range(0, 5000, 2))
+    d = docs(spark, [(1, "start " + " ".join(words) + " end"), (2, " ".join(words[700:720])), (3, " ".join(words[10:22])), *[(k, filler) for k in range(4, 60)]])
+    best = {}
+    for r in leakage.find_passages(d, items).collect():
+        best[r.item_id, r.doc_id] = max(best.get((r.item_id, r.doc_id), 0), r.words)
+    assert best == {(1, 1): 5000, (1, 2): 20}
+    searcher = leakage._searcher([(1, words)], 13)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    list(searcher([1] * 100, [" ".join(words)[:20_000]] * 100))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
 
 
 def test_token_counts(spark):
