@@ -4,230 +4,281 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgersift.llm.arrow import batch
-from ledgersift.llm.strings import Vocabulary, fold
+from ledgersift.llm.strings import abbreviates, deletions, fold
+from ledgersift.llm.trie import trie_join
 from ledgersift.session import spread, written
 
-#: Largest reference list that is sent to the tasks.
-MOST_ENTRIES = 100_000
 UNMATCHED = -1
-
-TOKEN = re.compile(r"\d+/\d+|o/n|[^\W_]+|\"")
-
-# What surrounds an item in a typed line, in this order; each is taken off in turn, where it stands. Words
-# in the middle of a surrounding may hold a slip, so only their length is fixed.
-WRAPPERS = [
-    r"\s*\(copy\)\s*$",
-    r"\s+-\s+resent\s*$",
-    r",\s*as agreed\s*$",
-    r"\s+p\.quote\s*$",
-    r"\s+\.\s*$",
-    r"\s*\[[a-z]\d+\]\s*$",
-    r"\s+(?:-\s+)?j\S{1,3}\s+\d{4,6}\s*$",
-    r"\s*\([a-z]{3,10}\s+\d{4}\)\s*$",
-    r"\s+per\s+\S{4,6}\s+[a-z]\d{4,6}\s*$",
-    r"\s+as\s+\S{4,7}\s+w/.*$",
-    r"\s+c/o\s.*$",
-    r"\s+for\s+\S.{1,30}\s\S{3,6}\s+\S{5,7}\s+\d{4,6}\s*$",
-    r",?\s*\S{8,10}\s+\d+/\d+,?\s*\S{3,5}\s+\d{4,6}\s*$",
-    r"^\s*wo\s*#\s*\d+\s*/\s*",
-    r"^\s*job\s+\d+\s*:\s*",
-    r"^\s*[a-z]+(?: [a-z]+)?\s+-\s+",
-]
-# Words of such surroundings that may be left where a slip hid the pattern.
-CONTEXT_WORDS = "job wo slip ticket delivered quote agreed per as for w c o resent".split()
-#: Words that stand for another word of the item list.
-ITEM_WORDS = {'"': "inch", "o/n": "overnight", "in": "inch", "cu": "copper", "ft": "foot", "lbs": "pound", "lb": "pound", "2": "two", "1": "one"}
-
-# What surrounds a typed category.
-CATEGORY_WRAPPERS = [r"^\s*cat\s*[:.]\s*", r"\s*\(new\)\s*$", r"\s+(?:exp|costs)\.?\s*$"]
-#: Other names of the categories.
-CATEGORY_NAMES = {
-    "redi mix": "Concrete", "ready mix": "Concrete", "cement concrete": "Concrete", "steel metal goods": "Metals", "structural metal": "Metals",
-    "timber": "Lumber", "wood products": "Lumber", "plumber work": "Plumbing", "pipes plumbing": "Plumbing", "elec materials": "Electrical",
-    "electric works": "Electrical", "roof work": "Roofing", "roofs": "Roofing", "excav grading": "Excavation", "digging earthworks": "Excavation",
-    "machine hire": "Equipment Rental", "rented machinery": "Equipment Rental", "sprinklers fire safety": "Fire Protection", "engineers": "Engineering Services",
-    "lawyers": "Legal Services", "attorney fees": "Legal Services", "cpa services": "Accounting Services", "bookkeeping": "Accounting Services",
-    "it": "Information Technology", "computers software": "Information Technology", "temp labor": "Staffing", "agency workers": "Staffing", "education training": "Training",
-    "staff courses": "Training", "desk supplies": "Office Supplies", "stationery": "Office Supplies", "reprographics": "Printing", "print jobs": "Printing",
-    "custodial": "Janitorial Services", "cleaning": "Janitorial Services", "refuse recycling": "Waste Management", "trash removal": "Waste Management",
-    "site security": "Security Services", "guards": "Security Services", "heating cooling upkeep": "HVAC Maintenance", "air conditioning maint": "HVAC Maintenance",
-    "clinical consumables": "Medical Supplies", "lab consumables": "Laboratory Supplies", "ppe": "Protective Equipment", "safety gear": "Protective Equipment",
-    "trucking shipping": "Freight", "cargo transport": "Freight", "parcel delivery": "Courier", "messenger service": "Courier", "diesel gas": "Fuel",
-    "gasoline": "Fuel", "fleet upkeep": "Vehicle Repair", "truck maintenance": "Vehicle Repair",
-}
+#: Numbers and fractions, two letters with a stroke between them, words, inch marks.
+TOKEN = re.compile(r"\d+/\d+|(?<![^\W_])[^\W\d_]/[^\W\d_](?![^\W_])|[^\W_]+|\"")
 #: Words that carry no meaning in a category or item.
 FILLERS = {"and", "of", "the", "a", "und"}
+#: Usual short forms of measures and goods, the table that map_items uses if it is given no other.
+SHORT_FORMS = {'"': "inch", "in": "inch", "ft": "foot", "lb": "pound", "lbs": "pound", "cu": "copper", "o/n": "overnight"}
+#: A word without likeness to the list is a surrounding if it stands beside the full names of that many entries.
+CONTEXT_ENTRIES = 3
+#: Another name of an entry is learned from that many rows, if that share of them has the entry by their description.
+LEARN_ROWS, LEARN_SHARE = 5, 0.6
+
+_FOUND = "array<struct<word:string,likeness:double,weight:double>>"
+_ENTRY = "array<struct<entry_id:int,words:array<struct<word:string,weight:double>>>>"
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(fold(text))
-
-
-def core_text(column: str, wrappers: list[str]) -> F.Column:
-    """The text in lower case with runs of white space as one blank and the wrappers taken off."""
-    c = F.trim(F.regexp_replace(F.lower(F.col(column)), r"(?U)\s+", " "))
-    for w in wrappers:
-        c = F.regexp_replace(c, w, "")
-    return F.trim(c)
-
-
-class Matcher:
-    """Ranks the entries of a list for a typed text by soft TF-IDF over corrected tokens."""
-
-    def __init__(self, entries: list[tuple[int, str]], words: dict[str, str], context: list[str], names: dict[str, int], least: float) -> None:
-        self.entries = [(i, [t for t in tokens(text) if t not in FILLERS]) for i, text in entries]
-        self.entries += [(i, [t for t in tokens(text) if t not in FILLERS]) for text, i in names.items()]
-        self.least, self.words, self.context = least, words, set(context)
-        self.ranked: dict[str, tuple[float, int]] = {}
-        df = Counter(t for _, ts in self.entries for t in set(ts))
-        n = len(self.entries)
-        self.idf = {t: math.log(1 + n / k) for t, k in df.items()}
-        self.rare = math.log(1 + n)
-        self.norm = [math.sqrt(sum(self.idf[t] ** 2 for t in ts)) for _, ts in self.entries]
-        self.joined: dict[str, tuple[str, ...]] = {}
-        for _, ts in self.entries:
-            for k in range(len(ts) - 1):
-                if not any(c.isdigit() for c in ts[k] + ts[k + 1]):
-                    self.joined[ts[k] + ts[k + 1]] = (ts[k], ts[k + 1])
-        self.holders: dict[str, list[int]] = {}
-        for k, (_, ts) in enumerate(self.entries):
-            for t in set(ts):
-                self.holders.setdefault(t, []).append(k)
-        self.vocabulary = Vocabulary([*df, *self.joined])
-
-    def near(self, token: str) -> dict[str, float]:
-        """Entry tokens, and words written together, that a token may stand for; the latter only if nothing else fits."""
-        found = self.vocabulary.near(token)
-        if alias := self.words.get(token):
-            found = self.vocabulary.near(alias) | {w: s for w, s in found.items() if w == token}
-        single = {w: s for w, s in found.items() if w in self.idf}
-        if not single and len(token) > 3 and token.endswith("s"):
-            single = {w: s for w, s in self.vocabulary.near(token[:-1]).items() if w in self.idf}
-        return single or {w: s for w, s in found.items() if len(token) >= max(4, 0.35 * len(w))}
-
-    def repaired(self, typed: list[str]) -> list[tuple[float, dict[str, float]]]:
-        """For each typed token its weight if it stays unmatched, and the entry tokens it may stand for."""
-        out, i = [], 0
-        while i < len(typed):
-            t = typed[i]
-            near = self.near(t)
-            both = {}
-            if (not near or len(t) < 3) and i + 1 < len(typed) and not any(c.isdigit() for c in t + typed[i + 1]) and not self.near(typed[i + 1]):
-                both = self.near(t + typed[i + 1])  # a blank inside a word
-            if both:
-                near, i = both, i + 1
-            found: dict[str, float] = {}
-            for w, s in near.items():
-                for part in self.joined.get(w, (w,)) if w not in self.idf else (w,):
-                    found[part] = max(s, found.get(part, 0))
-            weight = max((self.idf[w] for w in found), default=self.rare)
-            out.append((weight, found))
-            i += 1
-        return out
-
-    def best(self, text: str, lead: str = "") -> int:
-        """The entry of the text, or of lead and text where the lead has a word of the list and that fits better."""
-        if text not in self.ranked:
-            self.ranked[text] = self.rank(text)
-        fit, entry = self.ranked[text]
-        if lead and any(self.near(t) for t in tokens(lead) if t not in FILLERS and t not in self.context):
-            whole, other = self.rank(f"{lead} {text}")
-            if whole > fit + 1e-9:
-                return other
-        return entry
-
-    def rank(self, text: str) -> tuple[float, int]:
-        typed = [t for t in tokens(text) if t not in FILLERS and t not in self.context and not (t.isdigit() and len(t) > 4)]
-        if not typed:
-            return 0.0, UNMATCHED
-        cover = self.repaired(typed)
-        sums: Counter[int] = Counter()
-        for e in {k for _, found in cover for w in found for k in self.holders[w]}:
-            ts = self.entries[e][1]
-            dot = size = covered = 0.0
-            used: set[str] = set()
-            # tokens that fit few words of the entry choose first
-            for weight, found in sorted(cover, key=lambda x: sum(w in ts for w in x[1])):
-                hit = max(((s, w) for w, s in found.items() if w in ts and w not in used), default=None)
-                if hit is None:
-                    if any(w in used for w in found):
-                        continue  # a token said twice
-                    size += weight**2
-                    continue
-                s, w = hit
-                used.add(w)
-                # one token may hold two words of the entry written together
-                size += self.idf[w] ** 2
-                dot += s * self.idf[w] ** 2
-                covered += self.idf[w] ** 2
-                for other, s2 in found.items():
-                    if other in ts and other not in used and (w + other in self.joined or other + w in self.joined) and s2 == s and len(found) == 2:
-                        used.add(other)
-                        size += self.idf[other] ** 2
-                        dot += s * self.idf[other] ** 2
-            if any(t[0].isdigit() and t not in used for t in ts):
-                continue
-            sums[e] = dot / (self.norm[e] * math.sqrt(size)) if size else 0.0
-        if not sums:
-            return 0.0, UNMATCHED
-        top = max(sums.values())
-        if top < self.least:
-            return 0.0, UNMATCHED
-        winners = {self.entries[e][0] for e, s in sums.items() if s >= top - 1e-9}
-        return (top, winners.pop()) if len(winners) == 1 else (0.0, UNMATCHED)
+    return [t for t in TOKEN.findall(fold(text)) if t not in FILLERS]
 
 
-def map_values(
-    values: DataFrame, reference: DataFrame, entry_id: str, entry_text: str, wrappers: list[str], words: dict[str, str] | None = None, context: list[str] | None = None, names: dict[str, str] | None = None, least: float = 0.72, place: str | None = None
-) -> DataFrame:
-    """(record_source, record_key, entry_id) for values (record_source, record_key, value); entry_id is -1 without an entry.
+def _tokenise(batches):
+    schema = pa.schema([("core", pa.string()), ("tokens", pa.list_(pa.string()))])
+    for x in batches:
+        yield batch({"core": x.column(0), "tokens": [tokens(t) for t in x.column(0).to_pylist()]}, schema)
 
-    Every distinct core text (lower case, surroundings taken off) is mapped once and joined back. Its distinct tokens are joined to the
-    vocabulary of the reference by edit distance, through a deletion index, and as abbreviations; tokens with
-    digits must be equal. The corrected tokens are combined by soft TF-IDF cosine, an unmatched token counting against every entry; the best
-    entry wins if it reaches `least` and is alone at the top, and all its tokens with digits are present.
 
-    What `place` finds at the start of a text may be a place or the item's own words: the text is ranked without it, and with it if a word of it
-    is in the list.
+def _shortened(slip: bool):
+    """(token, form, first, last, n): forms of tokens that may be abbreviations; slip: also without any one of their letters."""
 
-    Null values, blank ones and null keys have no row; equal rows give one row; other columns are ignored. An empty reference leaves
-    everything unmatched. The reference is a fixed list; more than MOST_ENTRIES entries are refused, as the list is sent to each task.
+    def run(batches):
+        schema = pa.schema([("token", pa.string()), ("form", pa.string())])
+        for x in batches:
+            rows = [(t, d) for t in x.column(0).to_pylist() for d in (deletions(t, 1) - {t} if slip else (t,)) if len(d) > 1 + slip]
+            if rows:
+                yield batch(dict(zip(schema.names, zip(*rows), strict=True)), schema)
+
+    return run
+
+
+def _abbreviated(slip: bool):
+    def run(batches):
+        schema = pa.schema([("token", pa.string()), ("word", pa.string()), ("likeness", pa.float64())])
+        for x in batches:
+            rows = [(t, w, 0.75 if slip else 0.92 if w.startswith(d) else 0.85) for t, d, w in zip(*(c.to_pylist() for c in x.columns), strict=True) if abbreviates(d, w)]
+            if rows:
+                yield batch(dict(zip(schema.names, zip(*rows), strict=True)), schema)
+
+    return run
+
+
+def _abbreviations(asked: DataFrame, words: DataFrame, slip: bool) -> DataFrame:
+    """(token, word, likeness): words with letters left out. Both sides are placed by the first and the last letter of the short form."""
+    forms = asked.mapInArrow(_shortened(slip), "token string, form string")
+    forms = forms.select("token", "form", F.substring("form", 1, 1).alias("first"), F.expr("right(form, 1)").alias("last"))
+    letters = F.explode(F.array_distinct(F.split(F.expr("substring(word, 2)"), ""))).alias("last")
+    index = words.select("word", F.substring("word", 1, 1).alias("first"), letters)
+    inside = (F.length("form") < F.length("word")) & (F.instr(F.expr("substring(word, 2)"), F.expr("substring(form, 2, 1)")) > 0)
+    return forms.join(index, ["first", "last"]).where(inside).select("token", "form", "word").mapInArrow(_abbreviated(slip), "token string, word string, likeness double").groupBy("token", "word").agg(F.max("likeness").alias("likeness"))
+
+
+def repair(asked: DataFrame, words: DataFrame, more: DataFrame) -> DataFrame:
+    """(token, word, likeness) of distinct tokens (token) and the words of a list (word), and more words, that they may stand for.
+
+    Tokens with digits must be equal; others are joined by edit distance through tries, and as abbreviations; where no word of the list is found so, without
+    the s of a plural, else as abbreviations with a slip. Both sides are distributed, whatever their size.
     """
-    listed = [(r.i, r.t) for r in reference.select(F.col(entry_id).cast("int").alias("i"), F.col(entry_text).alias("t")).where("i is not null and t is not null").distinct().limit(MOST_ENTRIES + 1).collect()]
-    if len(listed) > MOST_ENTRIES:
-        raise ValueError(f"the reference has more than {MOST_ENTRIES} entries")
-    by_text = {t: i for i, t in sorted(listed, reverse=True)}
-    other = {k: by_text[v] for k, v in (names or {}).items() if v in by_text}
+    plain = lambda df, c: df.where(~F.col(c).rlike(r"\d"))
+    known, every = plain(words, "word"), plain(words.unionAll(more).distinct(), "word")
+
+    stem = F.expr("left(token, length(token) - 1)")
+    bare, plural = plain(asked, "token"), F.col("token").rlike("...s$")
+    forms = bare.unionAll(bare.where(plural).select(stem.alias("token"))).distinct()
+    near = trie_join(forms, every).select("token", "word", (1 - 0.8 * F.col("edits") / F.greatest(F.length("word"), F.lit(5))).alias("likeness"))
+    equal = asked.where(F.col("token").rlike(r"\d")).join(words, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("likeness"))
+    near = near.unionAll(equal).unionAll(_abbreviations(forms, every, False))
+    near = written(near.groupBy("token", "word").agg(F.max("likeness").alias("likeness")).join(words.withColumn("listed", F.lit(True)), "word", "left"), "near")
+    found = near.join(asked, "token", "left_semi").select("token", "word", "likeness", "listed")
+    rest = bare.where("length(token) > 3").join(found.where("listed"), "token", "left_anti")
+    stems = near.where("listed").withColumnRenamed("token", "stem")
+    several = rest.where(plural).withColumn("stem", stem).join(stems, "stem").select("token", "word", "likeness")
+    rest = rest.join(several, "token", "left_anti")
+    return found.drop("listed").unionAll(several).unionAll(_abbreviations(rest, known, True))
+
+
+def _score(cover: list, entry: list, whole: bool, least: float) -> tuple[float, float]:
+    """(cosine, weight in common) of repaired tokens (weight if unmatched, {word: likeness}) with an entry's words {word: weight}."""
+    found = [(len(hit), i, hit) for i, (_, near, _) in enumerate(cover) if (hit := sorted(((s, w) for w, s in near.items() if w in entry), reverse=True))]
+    used: dict[str, tuple[int, float]] = {}
+    # tokens that fit few words of the entry choose first; one token may hold two words written together
+    for _, i, hit in sorted(found, key=lambda x: x[:2]):
+        if first := next(((s, w) for s, w in hit if w not in used), None):
+            used[first[1]] = i, first[0]
+        if cover[i][2]:
+            used.update({w: (i, s) for s, w in hit if w not in used and s == hit[0][0]})
+    digits = [w for w in entry if w[0].isdigit()]
+    if any(w not in used for w in digits):
+        return 0.0, 0.0
+    size = sum(w * w for w in entry.values())
+    spots = sorted({i for i, _ in used.values()})
+    best = 0.0, 0.0
+    for a in range(len(spots)) if not whole else (0,):
+        for b in range(len(spots) - 1, a - 1, -1) if not whole else (len(spots) - 1,):
+            low, high = (0, len(cover) - 1) if whole else (spots[a], spots[b])
+            inside = {w: s for w, (i, s) in used.items() if low <= i <= high}
+            weight = sum(entry[w] ** 2 for w in inside)
+            if math.sqrt(weight / size) < max(least, best[0]) - 1e-9:
+                break
+            if any(w not in inside for w in digits):
+                continue
+            took = {used[w][0] for w in inside}
+            other = sum(cover[i][0] ** 2 for i in range(low, high + 1) if i not in took and not any(w in inside for w in cover[i][1]))
+            dot = sum(s * entry[w] ** 2 for w, s in inside.items())
+            best = max(best, (round(dot / math.sqrt(size * (weight + other)), 9), round(dot, 9)))
+    return best
+
+
+def _rank(whole: bool, least: float, rare: float, matched_only: bool = False):
+    """The best entry of each text; matched_only: as if the tokens without likeness to the list were not there."""
 
     def run(batches):
-        matcher = Matcher(sorted(listed), words or {}, context or [], other, least)
-        schema = pa.schema([("core", pa.string()), ("lead", pa.string()), ("entry_id", pa.int32())])
+        schema = pa.schema([("core", pa.string()), ("entry_id", pa.int32()), ("score", pa.float64())])
         for x in batches:
-            matcher.ranked.clear()
-            yield batch({"core": x.column(0), "lead": x.column(1), "entry_id": [matcher.best(t, l) for t, l in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]}, schema)
+            ids, scores = [], []
+            for said, candidates in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
+                cover = []
+                for s in sorted(said, key=lambda s: s["pos"]):
+                    near = {f["word"]: f["likeness"] for f in s["found"] or ()}
+                    if not near and matched_only or s["context"]:
+                        continue
+                    cover.append((max((f["weight"] for f in s["found"] or ()), default=rare), near, s["joined"]))
+                best, winners = (least, 0.0), set()
+                for c in candidates or ():
+                    got = _score(cover, {w["word"]: w["weight"] for w in c["words"]}, whole, least)
+                    if got > best:
+                        best, winners = got, set()
+                    if got == best:
+                        winners.add(c["entry_id"])
+                ids.append(winners.pop() if len(winners) == 1 else UNMATCHED)
+                scores.append(best[0])
+            yield batch({"core": x.column(0), "entry_id": ids, "score": scores}, schema)
+
+    return run
+
+
+def _mapped(cores: DataFrame, reference: DataFrame, synonyms: DataFrame | None, whole: bool, least: float, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(core, entry_id) of distinct texts (core) and, of whole texts, the surroundings (token), unless they are known; reference is entry_id, entry_text."""
+    typed = written(cores.mapInArrow(_tokenise, "core string, tokens array<string>"), "typed")
+    listed = reference.where("entry_id is not null and entry_text is not null").distinct()
+    named = listed.select(F.col("entry_text").alias("core")).distinct().mapInArrow(_tokenise, "core string, tokens array<string>")
+    entries = written(listed.join(named, F.col("entry_text") == F.col("core")).where("size(tokens) > 0").select("entry_id", "entry_text", "tokens"), "entries")
+    n = entries.count()
+    counts = entries.select("entry_id", "entry_text", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    weights = written(counts.select("word", F.log1p(F.lit(float(n)) / F.col("k")).alias("weight")), "weights")
+    # two words of an entry may be written as one, and one as two
+    at = F.explode(F.sequence(F.lit(0), F.size("tokens") - 2)).alias("i")
+    two = entries.where("size(tokens) > 1").select("tokens", at).select(F.col("tokens")[F.col("i")].alias("x"), F.get("tokens", F.col("i") + 1).alias("y")).where(~F.concat("x", "y").rlike(r"\d")).distinct()
+    together = two.select(F.concat("x", "y").alias("word"), "x", "y")
+    asked = typed.select(F.explode("tokens").alias("token")).distinct()
+    near = written(repair(asked, weights.select("word"), together.select("word")), "repaired")
+    if synonyms is not None:
+        pairs = synonyms.where("short is not null and long is not null").select(F.lower("short").alias("token"), F.lower("long").alias("word")).distinct()
+        near = near.join(pairs.select("token"), "token", "left_anti").unionAll(asked.join(pairs, "token").select("token", "word", F.lit(1.0).alias("likeness")))
+    single = near.join(weights, "word").select("token", "word", "likeness", "weight")
+    parts = near.where("length(token) >= greatest(4, 0.35 * length(word))").join(together, "word").select("token", F.explode(F.array("x", "y")).alias("word"), "likeness")
+    parts = parts.join(weights, "word").select("token", "word", "likeness", "weight").join(single, "token", "left_anti")
+    bag = lambda df, joined: df.groupBy("token", "word").agg(F.max("likeness").alias("likeness"), F.max("weight").alias("weight")).groupBy("token").agg(F.collect_list(F.struct("word", "likeness", "weight")).alias("found")).withColumn("joined", F.lit(joined))
+    found = bag(single, False).unionAll(bag(parts, True))
+    said = written(typed.select("core", F.posexplode("tokens").alias("pos", "token")).join(found, "token", "left").select("core", "pos", "token", "found", F.coalesce("joined", F.lit(False)).alias("joined")), "said")
+    # a blank inside a word: two neighbours of which the second, and the first unless it is very short, are like nothing
+    other = said.select("core", (F.col("pos") - 1).alias("pos"), F.col("token").alias("next")).where("found is null")
+    split = said.where("found is null or length(token) < 3").join(other, ["core", "pos"]).select("core", "pos", F.concat("token", "next").alias("word"))
+    split = split.where(~F.col("word").rlike(r"\d")).join(weights, "word")
+    split = split.select("core", "pos", F.array(F.struct("word", F.lit(1.0).alias("likeness"), "weight")).cast(_FOUND).alias("whole_word"))
+    said = said.join(split, ["core", "pos"], "left").select("core", "pos", "token", F.coalesce("whole_word", "found").alias("found"), "joined", F.col("whole_word").isNotNull().alias("merges"))
+    spoken = F.sort_array(F.collect_list(F.struct("pos", "token", "found", "joined", "merges")))
+    cover = said.groupBy("core").agg(spoken.alias("said"))
+    # the second half of such a word is taken out
+    halves = F.filter("said", lambda s: ~F.exists("said", lambda p: p["merges"] & (p["pos"] + 1 == s["pos"])))
+    cover = cover.select("core", F.when(F.exists("said", lambda s: s["merges"]), halves).otherwise(F.col("said")).alias("said"))
+
+    # an entry needs that share of its squared weight in common: it is filed under its rarest words, until less is left
+    full = entries.select("entry_id", "entry_text", F.explode(F.array_distinct("tokens")).alias("word")).join(weights, "word")
+    entry = full.groupBy("entry_id", "entry_text").agg(F.collect_list(F.struct("word", "weight")).alias("words"))
+    by_entry = Window.partitionBy("entry_id", "entry_text")
+    square = F.col("weight") * F.col("weight")
+    before = F.sum(square).over(by_entry.orderBy(F.col("weight").desc(), "word").rowsBetween(Window.unboundedPreceding, -1))
+    filed = full.withColumns({"left": F.sum(square).over(by_entry) - F.coalesce(before, F.lit(0.0)), "all": F.sum(square).over(by_entry)})
+    filed = filed.where(F.col("left") >= F.col("all") * (least * least - 1e-6)).select("word", "entry_id", "entry_text").join(entry, ["entry_id", "entry_text"]).select("word", "entry_id", "words")
+    meant = cover.select("core", F.explode("said").alias("s")).select("core", F.explode("s.found").alias("f")).select("core", "f.word").distinct()
+    candidates = meant.join(filed, "word").groupBy("core").agg(F.collect_set(F.struct("entry_id", "words")).cast(_ENTRY).alias("candidates"))
+    full_cover = cover.join(candidates, "core", "left")
+
+    rare = math.log(1 + n) if n else 1.0
+    rank = lambda df, context, *how: spread(df.select("core", F.transform("said", lambda s: s.withField("context", context(s))).alias("said"), "candidates"), "core").mapInArrow(_rank(*how), "core string, entry_id int, score double")
+    none = lambda s: F.lit(False)
+    if not whole:
+        return rank(full_cover, none, False, least, rare).select("core", "entry_id"), None
+    if context is None:
+        full_cover = written(full_cover, "covers")
+        sure = rank(full_cover, none, True, 0.9, rare, True).where(F.col("entry_id") != UNMATCHED)
+        beside = full_cover.select("core", F.explode("said").alias("s")).where("s.found is null").select("core", "s.token").join(sure, "core")
+        context = written(beside.select("token", "entry_id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= CONTEXT_ENTRIES).select("token"), "context")
+    marked = typed.select("core", F.explode("tokens").alias("token")).join(context, "token").groupBy("core").agg(F.collect_set("token").alias("around"))
+    full_cover = full_cover.join(marked, "core", "left").withColumn("around", F.coalesce("around", F.array().cast("array<string>")))
+    return rank(full_cover, lambda s: F.array_contains(F.col("around"), s["token"]), True, least, rare).select("core", "entry_id"), context
+
+
+def _lines(values: DataFrame) -> DataFrame:
+    core = F.trim(F.regexp_replace(F.lower("value"), r"(?U)\s+", " "))
+    return written(values.where(F.col("record_key").isNotNull()).select("record_source", "record_key", core.alias("core")).where("core <> ''").distinct(), "cores")
 
-    lines = values.where(F.col("record_key").isNotNull() & (F.trim(F.regexp_replace("value", r"(?U)\s", "")) != "")).select("record_source", "record_key", core_text("value", wrappers).alias("core"))
-    lead = F.trim(F.regexp_extract("core", place, 0)) if place else F.lit("")
-    lines = lines.withColumn("lead", lead)
-    if place:
-        lines = lines.withColumn("core", F.trim(F.regexp_replace("core", place, "")))
-    lines = written(lines.distinct(), "cores")  # the surroundings are taken off once, for both uses
-    mapped = spread(lines.select("core", "lead").distinct(), "core").mapInArrow(run, "core string, lead string, entry_id int")
-    return lines.join(mapped, ["core", "lead"]).select("record_source", "record_key", "entry_id").distinct()
 
+def map_values(values: DataFrame, reference: DataFrame, synonyms: DataFrame | None = None, whole: bool = False, least: float = 0.72) -> DataFrame:
+    """(record_source, record_key, entry_id) for values (record_source, record_key, value) and a list (entry_id, entry_text); entry_id is -1 without an entry.
 
-def map_items(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Typed item texts (record_source, record_key, value) to item_list."""
-    return map_values(lines, items, "item_id", "item_name", WRAPPERS[:-1], ITEM_WORDS, CONTEXT_WORDS, place=WRAPPERS[-1])
+    Every distinct text, in lower case with runs of white space as one blank, is mapped once and joined back. Its distinct tokens are
+    joined to the words of the list by edit distance, through tries, and as abbreviations; tokens with digits must be equal; synonyms (short, long) are
+    words that stand for another. The repaired tokens are combined by soft TF-IDF cosine. Entries are looked up by their rarest words only, as many as are needed
+    for any text that reaches `least`. The best entry wins if it reaches `least` and all its tokens with digits are present; of equal cosines that with the
+    larger weight in common; equals among those leave the text unmatched.
 
+    Unless `whole`, what stands before the first and after the last word of the entry is taken as surroundings and does not count, while words between them
+    that the entry does not have count against it. With `whole` every word counts, but for words that are like nothing in the list and stand beside the names of
+    CONTEXT_ENTRIES entries or more.
 
-def map_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
-    """Typed categories to category_list."""
-    return map_values(rows, categories, "category_id", "category", CATEGORY_WRAPPERS, names=CATEGORY_NAMES, least=0.6)
+    Null values, blank ones and null keys have no row; equal rows give one row; other columns are ignored. An empty reference leaves
+    everything unmatched. Neither the list nor the texts are sent to the driver or to tasks as a whole.
+    """
+    lines = _lines(values)
+    mapped, _ = _mapped(lines.select("core").distinct(), reference.select("entry_id", "entry_text"), synonyms, whole, least)
+    return lines.join(mapped, "core", "left").select("record_source", "record_key", F.coalesce("entry_id", F.lit(UNMATCHED)).alias("entry_id")).distinct()
+
+
+def short_forms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SHORT_FORMS.items()), "short string, long string")
+
+
+def map_items(lines: DataFrame, items: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Typed item texts (record_source, record_key, value) to item_list (item_id, item_name)."""
+    listed = items.select(F.col("item_id").cast("int").alias("entry_id"), F.col("item_name").alias("entry_text"))
+    return map_values(lines, listed, short_forms(lines.sparkSession) if synonyms is None else synonyms)
+
+
+def map_categories(rows: DataFrame, categories: DataFrame, hints: DataFrame | None = None, least: float = 0.6) -> DataFrame:
+    """Typed categories (record_source, record_key, value) to category_list (category_id, category).
+
+    hints (record_key, entry_id): the entry that a row has by what it describes, which may be wrong for some. Other names are learned from them: a text without an
+    entry that has at least LEARN_ROWS rows, of which LEARN_SHARE or more have one entry by their hints, is another name of that entry; texts without an
+    entry are then mapped again, to the list and the learned names. The entry of a text depends on the text alone.
+    """
+    lines = _lines(rows)
+    listed = categories.select(F.col("category_id").cast("int").alias("entry_id"), F.col("category").alias("entry_text"))
+    mapped, context = _mapped(lines.select("core").distinct(), listed, None, True, least)
+    first = written(lines.join(mapped, "core", "left").select("record_source", "record_key", "core", F.coalesce("entry_id", F.lit(UNMATCHED)).alias("entry_id")), "first")
+    if hints is None:
+        return first.select("record_source", "record_key", "entry_id").distinct()
+    open_ = first.where(F.col("entry_id") == UNMATCHED)
+    cores = open_.select("core").distinct()
+    words = cores.mapInArrow(_tokenise, "core string, tokens array<string>").select("core", F.posexplode("tokens").alias("pos", "token")).join(context, "token", "left_anti")
+    names = words.groupBy("core").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])).alias("name"))
+    known = hints.where("record_key is not null").join(listed.where("entry_text is not null").select("entry_id").distinct(), "entry_id", "left_semi").groupBy("record_key").agg(F.max("entry_id").alias("hint"))
+    votes = open_.join(names, "core").join(known, "record_key", "left").groupBy("name", F.coalesce("hint", F.lit(UNMATCHED)).alias("hint")).agg(F.count(F.lit(1)).alias("k"))
+    top = votes.groupBy("name").agg(F.sum("k").alias("n"), F.max(F.struct("k", "hint")).alias("top"))
+    learned = top.where((F.col("top.hint") != UNMATCHED) & (F.col("n") >= LEARN_ROWS) & (F.col("top.k") >= F.col("n") * LEARN_SHARE)).select(F.col("top.hint").cast("int").alias("entry_id"), F.col("name").alias("entry_text"))
+    again, _ = _mapped(cores, listed.unionAll(written(learned, "learned")), None, True, least, context)
+    second = open_.join(again, "core", "left").select("record_source", "record_key", again["entry_id"])
+    both = first.where(F.col("entry_id") != UNMATCHED).select("record_source", "record_key", "entry_id").unionAll(second.select("record_source", "record_key", F.coalesce("entry_id", F.lit(UNMATCHED))))
+    return both.distinct()

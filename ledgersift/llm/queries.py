@@ -42,9 +42,15 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of invoice lines, and categories of classifications; the descriptions of these tell which other names the categories have."""
+    items, classified = table(spark, folder, "item_list"), table(spark, folder, "item_classifications")
     typed = table(spark, folder, "invoices").select(F.lit("invoices").alias("record_source"), F.col("line_item_id").alias("record_key"), F.col("line_item_description").alias("value"))
-    classified = table(spark, folder, "item_classifications").select(F.lit("item_classifications").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("category").alias("value"))
-    return mapping.map_items(typed, table(spark, folder, "item_list")).unionAll(mapping.map_categories(classified, table(spark, folder, "category_list")))
+    described = classified.select(F.lit("described").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("original_description").alias("value"))
+    found = written(mapping.map_items(typed.unionAll(described), items), "items")
+    sorted_as = items.select(F.col("item_id").alias("entry_id"), F.col("category_id").cast("int").alias("category_id")).distinct()
+    hints = found.where("record_source = 'described'").join(sorted_as, "entry_id").select("record_key", F.col("category_id").alias("entry_id"))
+    rows = classified.select(F.lit("item_classifications").alias("record_source"), F.col("description_hash").alias("record_key"), F.col("category").alias("value"))
+    return found.where("record_source = 'invoices'").unionAll(mapping.map_categories(rows, table(spark, folder, "category_list"), hints))
 
 
 def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,43 +71,3 @@ def abbreviates(short: str, word: str) -> bool:
         return word.startswith(short)
     at = iter(word[1:])
     return all(c in at for c in short[1:])
-
-
-class Vocabulary:
-    """Words that can be looked up by edit distance and abbreviation; answers are remembered."""
-
-    def __init__(self, words) -> None:
-        self.words = set(words)
-        self.index: dict[str, list[str]] = {}
-        self.starts: dict[str, list[str]] = {}
-        for w in sorted(self.words):
-            if not any(c.isdigit() for c in w):
-                for d in deletions(w, slips(len(w))):
-                    self.index.setdefault(d, []).append(w)
-                self.starts.setdefault(w[:1], []).append(w)
-        self.known: dict[str, dict[str, float]] = {}
-
-    def near(self, token: str) -> dict[str, float]:
-        """Words that token may stand for, with a similarity of at most 1. Words with digits must be equal."""
-        if (found := self.known.get(token)) is not None:
-            return found
-        found = {}
-        if token in self.words:
-            found[token] = 1.0
-        if not any(c.isdigit() for c in token):
-            k = slips(len(token) + 1)
-            for d in deletions(token, k):
-                for w in self.index.get(d, ()):
-                    most = min(k, slips(len(w)))
-                    if w not in found and (n := osa(token, w, most)) <= most:
-                        found[w] = 1 - 0.8 * n / max(len(w), 5)
-            for w in self.starts.get(token[:1], ()):
-                if w not in found and abbreviates(token, w):
-                    found[w] = 0.92 if w.startswith(token) else 0.85
-            if not found and len(token) > 3:  # an abbreviation with a slip, or in the plural
-                for d in deletions(token, 1) - {token}:
-                    for w in self.starts.get(d[:1], ()):
-                        if abbreviates(d, w):
-                            found[w] = 0.75
-        self.known[token] = found
-        return found

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgersift.llm import addresses, components, mapping, names, near_duplicates
-from ledgersift.llm.strings import Vocabulary, abbreviates, deletions, osa, slips
+from ledgersift.llm.strings import abbreviates, deletions, osa, slips
 from ledgersift.llm.trie import build, neighbours, trie_join
 from tests.conftest import rows
 
@@ -59,12 +59,55 @@ def test_trie_join_shards(spark):
     assert trie_join(one([], "token"), one(dictionary, "word")).count() == 0 == trie_join(one(probes, "token"), one([], "word")).count()
 
 
-def test_vocabulary():
-    v = Vocabulary(["freight", "fright", "services", "30x42"])
-    assert v.near("frght")["freight"] > 0.8 and "services" in v.near("svcs") and v.near("30x43") == {}
+def test_abbreviates():
     assert abbreviates("svcs", "services") and not abbreviates("do", "digging")
 
 
+def test_repair(spark):
+    """The three joins against brute force over all words."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    words = sorted({word(rng.randrange(3, 10)) for _ in range(150)} | {"30x42", "services"})
+    asked = sorted({word(rng.randrange(2, 9)) for _ in range(80)} | {"30x42", "30x43", "svcs", "servies", *words[:20]})
+    one = lambda ws, c: spark.createDataFrame([(w,) for w in ws], f"{c} string")
+    got = {(r.token, r.word): round(r.likeness, 6) for r in mapping.repair(one(asked, "token"), one(words, "word"), one([], "word")).collect()}
+    for t in asked:
+        if any(c.isdigit() for c in t):
+            assert {w for x, w in got if x == t} == ({t} & set(words))
+            continue
+        want = {w: round(1 - 0.8 * n / max(len(w), 5), 6) for w in words if w[0] != "3" and (n := plain_osa(t, w)) <= slips(len(w))}
+        for w in words:
+            if w[0] != "3" and abbreviates(t, w):
+                want[w] = max(want.get(w, 0), 0.92 if w.startswith(t) else 0.85)
+        if want or len(t) < 4:
+            assert {w: s for (x, w), s in got.items() if x == t} == want
+        else:
+            assert {w for x, w in got if x == t} == {w for w in words if w[0] != "3" and any(abbreviates(d, w) for d in deletions(t, 1) - {t} if len(d) > 2)}
+
+
+def test_categories_learn_other_names_and_surroundings(spark):
+    listed = spark.createDataFrame([(1, "Lumber"), (2, "Legal Services"), (3, "Fuel"), (4, "Freight"), (5, None)], "category_id int, category string")
+    typed = [("lumber", 1), ("cat: lumbr", 1), ("LEGAL SVCS (new)", 2), ("cat: Fuel", 3), ("cat: freight (new)", 4), ("fuel (new)", 3), ("cat: legal services", 2), ("lumber (new)", 1)] + [("Timber", 1)] * 6 + [("cat: timbre", 1)] + [("Other", -1)] * 6 + [("Pet grooming", -1), ("rare name", -1), ("", None), (None, None)]
+    rows_ = spark.createDataFrame([("c", f"k{i:02}", t, "x") for i, (t, _) in enumerate(typed)], "record_source string, record_key string, value string, core string")
+    hints = spark.createDataFrame([(f"k{i:02}", (1 if i % 6 else 3) if t == "Timber" else 1 + i % 4) for i, (t, _) in enumerate(typed) if t != "rare name"] + [(None, 1), ("k99", None)], "record_key string, entry_id int")
+    assert rows(mapping.map_categories(rows_, listed, hints)) == [("c", f"k{i:02}", e) for i, (_, e) in enumerate(typed) if e is not None]
+    plain = {r.record_key: r.entry_id for r in mapping.map_categories(rows_, listed).collect()}
+    assert plain["k01"] == 1 and plain["k08"] == -1
+    assert mapping.map_categories(rows_.limit(0), listed, hints).count() == 0 and {r.entry_id for r in mapping.map_categories(rows_, listed.limit(0), hints).collect()} == {-1}
+
+
+def test_a_long_list(spark, monkeypatch):
+    """Entries are looked up by their rarest words; a word that a third of them has costs nothing, and no list is too long."""
+    from ledgersift.llm import trie
+
+    monkeypatch.setattr(trie, "SHARD_WORDS", 50)
+    name = lambda k: f"Service {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}rdo{'xyz'[k % 3]}ent unit {k}"
+    listed = spark.createDataFrame([(k, name(k)) for k in range(3000)], "entry_id int, entry_text string")
+    typed = spark.createDataFrame([("s", str(k), f"job 12345: {name(k).lower()} for somebody") for k in range(0, 3000, 250)] + [("s", "none", "service unit")], "record_source string, record_key string, value string")
+    assert set(rows(mapping.map_values(typed, listed))) == {("s", str(k), k) for k in range(0, 3000, 250)} | {("s", "none", -1)}
+
+
+
 ADDRESSES = [
     ("12 North Elm Street, Unit 4, Alton, OH 45001", ("12", "", "north", "elm", "street", "4", "alton", "oh", "45001")),
     ("Attn: Billing, 45001-1234, 12 Elm St N / #4 / Alton", ("12", "", "north", "elm", "street", "4", "alton", "", "45001")),
