@@ -72,8 +72,10 @@ def trie_join(probes: DataFrame, dictionary: DataFrame, shard_words: int = SHARD
     """
     words = dictionary.select(F.col(dictionary.columns[0]).alias("word")).where("word <> ''").distinct()
     asked = probes.select(F.col(probes.columns[0]).alias("token")).where("token <> ''").distinct()
-    sizes = {r.n: r.k for r in words.groupBy(F.length("word").alias("n")).agg(F.count(F.lit(1)).alias("k")).toLocalIterator()}  # one row a length
-    blocks = max(1, -(-asked.count() // block_probes))
+    # one row a length, and the number of probes
+    counted = words.groupBy(F.length("word").alias("n")).agg(F.count(F.lit(1)).alias("k")).unionAll(asked.select(F.lit(0).alias("n"), F.lit(1).alias("x")).groupBy("n").agg(F.count("x").alias("k")))
+    sizes = {r.n: r.k for r in counted.collect()}
+    blocks = max(1, -(-sizes.pop(0, 0) // block_probes))
     # for each length of a probe the shards (length, number) it can reach
     reach = {n: [(m, k) for m, count in sizes.items() if abs(n - m) <= slips(m) for k in range(-(-count // shard_words))] for n in {m + d for m in sizes for d in range(-2, 3)} if n > 0}
     of_length = F.create_map(*[x for m, k in sizes.items() for x in (F.lit(m), F.lit(-(-k // shard_words)))]) if sizes else F.lit(None).cast("map<int,int>")
