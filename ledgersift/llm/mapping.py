@@ -187,7 +187,7 @@ def _rank(whole: bool, least: float, rare: float, matched_only: bool = False):
     def run(batches):
         schema = pa.schema([("shape", pa.string()), ("entry_id", pa.int32()), ("score", pa.float64())])
         near_of = _Unpacked(lambda items: (max((float(w) for _, _, w in items), default=rare), {word: float(s) for word, s, _ in items}))
-        entry_of = _Unpacked(lambda items: (int(items[0][0]), {word: float(w) for word, w in items[1:]}))
+        entry_of = _Unpacked(lambda items: (int(items[0][0]), {word: float(w) for word, w in items[1:]}, sum(float(w) ** 2 for _, w in items[1:])))
         for x in batches:
             ids, scores = [], []
             for said, candidates in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
@@ -199,8 +199,12 @@ def _rank(whole: bool, least: float, rare: float, matched_only: bool = False):
                         continue
                     cover.append((weight, near, kind == "j"))
                 best, winners = (least, 0.0), set()
+                meant = set().union(*(near for _, near, _ in cover))
                 for c in candidates or ():
-                    entry_id, words = entry_of[c]
+                    entry_id, words, size = entry_of[c]
+                    # no text does better than by the share of the entry it has
+                    if sum(w * w for word, w in words.items() if word in meant) < best[0] * best[0] * size - 1e-6:
+                        continue
                     got = _score(cover, words, whole, least)
                     if got > best:
                         best, winners = got, set()
