@@ -233,11 +233,13 @@ def same_place(a: Place, b: Place) -> bool:
 
 
 def _text(p: Place) -> str:
-    return "box" if p.box else p.street_city or p.street + p.city
+    """What is compared by its n-grams: the street, with the city where they cannot be told apart. Cities are compared as parts: their n-grams would
+    bring together all of a large city."""
+    return "box" if p.box else p.street_city or p.street
 
 
 def grams(p: Place, n: int = 3) -> dict[str, int]:
-    """Character n-grams of street and city, counted."""
+    """Character n-grams of the street, counted."""
     t = f"^{_text(p)}$"
     out: dict[str, int] = {}
     for i in range(max(1, len(t) - n + 1)):
@@ -271,10 +273,25 @@ def _count_grams(batches):
 
 
 def weigh(p: Place, idf: dict[str, float], rare: float) -> list[tuple[float, str]]:
-    """(weight, gram), heaviest first, as a vector of length one."""
-    ws = sorted(((n * idf.get(g, rare), g) for g, n in grams(p).items()), reverse=True)
-    norm = math.sqrt(sum(w * w for w, _ in ws)) or 1.0
-    return [(w / norm, g) for w, g in ws]
+    """(weight, gram) as a vector of length one, the rarest gram of all forms first: one order for all vectors, whatever their own weights."""
+    counted = grams(p)
+    norm = math.sqrt(sum((n * idf.get(g, rare)) ** 2 for g, n in counted.items())) or 1.0
+    return [(counted[g] * idf.get(g, rare) / norm, g) for g in sorted(counted, key=lambda g: (-idf.get(g, rare), g))]
+
+
+def prefix(vector: list[tuple[float, str]], least: float) -> list[str]:
+    """The grams of a vector up to where the rest of it is shorter than `least`.
+
+    Two vectors whose prefixes have no gram in common have a cosine below `least`: their first common gram in the order of all is behind the prefix of one of
+    them, so all common grams are, and their product is at most the length of that one's rest.
+    """
+    out, left = [], 1.0
+    for w, g in vector:
+        if left < least * least - 1e-9:
+            break
+        out.append(g)
+        left -= w * w
+    return out
 
 
 def _prefixes(idf: dict[str, float], rare: float, least: float):
@@ -283,14 +300,10 @@ def _prefixes(idf: dict[str, float], rare: float, least: float):
         for x in batches:
             keys, forms = [], []
             for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                p, left = Place(*row[1:]), 1.0
-                # what follows the prefix is too light to reach `least` with any vector by itself
-                for w, g in weigh(p, idf, rare):
-                    if left < least * least - 1e-9:
-                        break
-                    keys.append(f"{p.house}/{p.box}/{g}")
-                    forms.append(row[0])
-                    left -= w * w
+                p = Place(*row[1:])
+                found = prefix(weigh(p, idf, rare), least)
+                keys += [f"{p.house}/{p.box}/{g}" for g in found]
+                forms += [row[0]] * len(found)
             if keys:
                 yield batch({"key": keys, "form": forms}, schema)
 
@@ -314,7 +327,6 @@ def _verify(idf: dict[str, float], rare: float, least: float):
             rows = []
             for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
                 (p, v), (q, w) = look(a), look(b)
-                # a part left out shortens a vector, so the overlap is measured against the shorter text
                 dot = sum(s * w[g] for g, s in v.items() if g in w)
                 if dot >= least and same_place(p, q):
                     rows.append((a, b))
@@ -351,13 +363,13 @@ def _one_place(batches):
             yield batch(dict(zip(schema.names, zip(*rows), strict=True)), schema)
 
 
-def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.25) -> DataFrame:
+def match_addresses(records: DataFrame, anchors: DataFrame, least: float = 0.3) -> DataFrame:
     """(anchor, record): which records (record, address) stand at the place of which anchors (record, address).
 
     Addresses are parsed into parts, and each distinct set of parts, a form, is handled once. A form is a vector of the character
-    3-grams of its street and city, weighted by their rarity among all forms. The heaviest grams of the indexed forms, together
-    with their house or box number, make an inverted index; the heaviest of each form are looked up in it. The prefix leaves
-    out only what cannot reach the cosine `least` by itself. Candidates are verified by cosine, equal house or box number and
+    3-grams of its street (and city, where they cannot be told apart), weighted by their rarity among all forms. The rarest grams of the indexed forms, together
+    with their house or box number, make an inverted index; the rarest of each form are looked up in it. The prefix leaves
+    out only what cannot reach the cosine `least` (see prefix). Candidates are verified by cosine, equal house or box number and
     parts that do not contradict each other.
 
     Anchors are indexed twice: first as they are written, then in the form most records at their place have, as an anchor with

@@ -333,3 +333,21 @@ def test_current_links(spark):
     data = [(1, "b", "a", "accepted", dt(2024, 1, 1)), (2, "a", "b", "rejected", dt(2024, 1, 2)), (3, "c", "d", " Accepted ", None), (4, "e", "f", "pending", dt(2024, 1, 1)), (5, "f", "e", "accepted", dt(2024, 1, 1)), (6, "g", "g", "accepted", dt(2024, 1, 1)), (7, None, "h", "accepted", dt(2024, 1, 1))]
     df = spark.createDataFrame(data, "match_id long, vendor_id_a string, vendor_id_b string, decision string, decided_at timestamp_ntz")
     assert rows(components.current_links(df)) == [("c", "d"), ("e", "f")]
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=12), min_size=2, max_size=8), st.sampled_from([0.3, 0.5, 0.7]))
+@settings(max_examples=200)
+def test_prefixes_meet(streets, least):
+    """No two vectors that reach the cosine have prefixes without a common gram, also with repeated grams and ties in rarity."""
+    place = lambda t: addresses.Place("1", "", "", t, "", "", "", "", "", "")
+    counts = {}
+    for t in streets:
+        for g in addresses.grams(place(t)):
+            counts[g] = counts.get(g, 0) + 1
+    idf = {g: 1 / n for g, n in counts.items()}
+    vectors = [addresses.weigh(place(t), idf, 1.0) for t in streets]
+    for v in vectors:
+        for w in vectors:
+            other = {g: x for x, g in w}
+            if sum(x * other.get(g, 0) for x, g in v) >= least:
+                assert set(addresses.prefix(v, least)) & set(addresses.prefix(w, least))
