@@ -109,20 +109,25 @@ def split_history(invoices: DataFrame, share: float = 0.75, least: int = 6) -> D
 
 
 def baseline(invoices: DataFrame) -> DataFrame:
-    """(vendor_id, n, mean_amount, std_amount, max_amount, mean_gap, std_gap) of (vendor_id, invoice_date, total_amount).
+    """(vendor_id, n, cents, mean_amount, std_amount, max_amount, mean_gap, std_gap) of (vendor_id, invoice_date, total_amount); cents is the exact sum.
 
     Without enough rows the deviation is a fifth of the mean, the gap 30 days and its deviation .3 of it. Gaps come from daily
-    sums; invoices of one day have gaps of 0.
+    sums; invoices of one day have gaps of 0. Sums and squares are of whole cents, so nothing cancels and the order of rows does not count.
     """
-    amount = F.col("total_amount").cast("double")
-    daily = invoices.groupBy("vendor_id", "invoice_date").agg(F.count(F.lit(1)).alias("k"), F.sum(amount).alias("s"), F.sum(amount * amount).alias("q"), F.max(amount).alias("m"))
+    exact, money = "decimal(38,0)", F.col("total_amount").cast("decimal(18,2)")
+    cents = (money * 100).cast("decimal(18,0)")
+    daily = invoices.groupBy("vendor_id", "invoice_date").agg(F.count(F.lit(1)).alias("k"), F.sum(cents).alias("s"), F.sum((cents * cents).cast(exact)).cast(exact).alias("q"), F.max(money).alias("m"))
     gap = F.date_diff("invoice_date", F.lag("invoice_date").over(Window.partitionBy("vendor_id").orderBy("invoice_date")))
-    got = daily.withColumn("gap", gap).groupBy("vendor_id").agg(F.sum("k").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("max_amount"), F.sum("gap").alias("gs"), F.sum(F.col("gap") * F.col("gap")).alias("gq"))
+    got = daily.withColumn("gap", gap).groupBy("vendor_id").agg(F.sum("k").alias("n"), F.sum("s").cast("decimal(28,0)").alias("s"), F.sum("q").cast(exact).alias("q"), F.max("m").cast("double").alias("max_amount"), F.sum("gap").alias("gs"), F.sum(F.col("gap") * F.col("gap")).alias("gq"))
     n = F.col("n")
+    mean = F.col("s").cast("double") / 100.0 / n
+    # n q - s s, divided at last; where that has more than 38 digits, in doubles
+    square = F.coalesce(F.expr("try_subtract(try_multiply(q, cast(n as decimal(10,0))), try_multiply(s, s))").cast("double"), F.col("q").cast("double") * n - F.col("s").cast("double") * F.col("s").cast("double"))
+    std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), square) / n / (n - 1)) / 100.0)
     spread = lambda total, squares, k: F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / k) / (k - 1))))
     mean_gap = F.when(n > 1, F.coalesce("gs", F.lit(0)) / (n - 1)).otherwise(30.0)
     return got.select(
-        "vendor_id", "n", (F.col("s") / n).alias("mean_amount"), F.coalesce(spread(F.col("s"), F.col("q"), n), F.col("s") / n * 0.2).alias("std_amount"), "max_amount",
+        "vendor_id", "n", F.col("s").cast("long").alias("cents"), mean.alias("mean_amount"), F.coalesce(std, mean * 0.2).alias("std_amount"), "max_amount",
         mean_gap.alias("mean_gap"), F.coalesce(spread(F.coalesce("gs", F.lit(0)), F.coalesce("gq", F.lit(0)), n - 1), mean_gap * 0.3).alias("std_gap"),
     )
 
@@ -154,11 +159,12 @@ def top_share(rows: DataFrame, group: str, value: str, least: int = 3, share: fl
 
 
 def overbilling(invoices: DataFrame, share: float = 0.75, margin: float = 0.15) -> DataFrame:
-    """(vendor_id, mean_amount, reference): vendors whose mean exceeds the percentile of all vendors' means by the margin."""
-    means = invoices.where("vendor_id is not null and total_amount > 0").groupBy("vendor_id").agg(F.avg(F.col("total_amount").cast("double")).alias("mean_amount"))
-    means = written(means, "means").withColumn("_all", F.lit(1))
+    """(vendor_id, n, cents, mean_amount, reference): vendors whose mean exceeds the percentile of all vendors' means by the margin; cents is the exact sum."""
+    cents = (F.col("total_amount").cast("decimal(18,2)") * 100).cast("long")
+    sums = invoices.where("vendor_id is not null and total_amount > 0").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"))
+    means = written(sums.withColumn("mean_amount", F.col("cents") / 100.0 / F.col("n")), "means").withColumn("_all", F.lit(1))
     reference = percentiles(means, "_all", "mean_amount", {"reference": share}).join(means.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")), "_all")  # one row
-    return means.join(F.broadcast(reference), "_all").where((F.col("_n") >= 3) & (F.col("mean_amount") > F.col("reference") * (1 + margin))).select("vendor_id", "mean_amount", "reference")
+    return means.join(F.broadcast(reference), "_all").where((F.col("_n") >= 3) & (F.col("mean_amount") > F.col("reference") * (1 + margin))).select("vendor_id", "n", "cents", "mean_amount", "reference")
 
 
 def monthly_correlation(invoices: DataFrame, pairs: DataFrame, days: int = 30) -> DataFrame:

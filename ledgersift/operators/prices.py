@@ -87,9 +87,11 @@ def premium_index(prices: DataFrame, reference: DataFrame, category: str, vendor
 
 
 def savings(prices: DataFrame, reference: DataFrame, category: str, vendor: str, price: str, quantity: str, least: float = 5000) -> DataFrame:
-    """(vendor, category, saving): what buying at the median would have saved, where that is at least `least`."""
+    """(vendor, category, saving): what buying at the median would have saved, where that is at least `least`.
+
+    Each row's saving is held in millionths, so the sum is exact and does not depend on the order of rows."""
     joined = prices.join(reference, prices[category] == reference["category"]).where(F.col(price) > F.col("median"))
-    out = joined.groupBy(F.col(vendor).alias("vendor"), "category").agg(F.sum((F.col(price) - F.col("median")) * F.col(quantity)).alias("saving"))
+    out = joined.groupBy(F.col(vendor).alias("vendor"), "category").agg(F.sum(((F.col(price) - F.col("median")) * F.col(quantity)).cast("decimal(24,6)")).alias("saving"))
     return out.where(F.col("saving") >= least)
 
 

@@ -26,6 +26,14 @@ _BENCH = """bench AS (SELECT item AS category, count(*) AS n, count(DISTINCT ven
   FROM series WHERE price > 0 GROUP BY 1 HAVING count(DISTINCT vendor) >= 3)"""
 
 
+# the mean of an exact sum, half a cent up, in whole numbers: no double comes near a tie
+_CENTS = "((2 * {cents} + n) // (2 * n)) / 100.0::DOUBLE"
+
+
+def _whole_cents() -> F.Column:
+    return F.expr("(2 * cents + n) div (2 * n)") / 100.0
+
+
 def _norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -75,10 +83,10 @@ def vendor_premium_index(spark, folder):
     return prices.premium_index(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "amount")
 
 
-@query(f"WITH {_SERIES}, {_BENCH} SELECT vendor, category, round(sum((price - median) * quantity) + 0.000001::DOUBLE, 2) AS saving FROM series JOIN bench ON item = category WHERE price > median GROUP BY 1, 2 HAVING sum((price - median) * quantity) >= 5000")
+@query(f"WITH {_SERIES}, {_BENCH} SELECT vendor, category, CAST(sum(CAST((price - median) * quantity AS DECIMAL(24,6))) AS DECIMAL(18,2)) AS saving FROM series JOIN bench ON item = category WHERE price > median GROUP BY 1, 2 HAVING sum(CAST((price - median) * quantity AS DECIMAL(24,6))) >= 5000")
 def renegotiation_savings(spark, folder):
     s = series(spark, folder)
-    return prices.savings(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "quantity").withColumn("saving", F.round(F.col("saving") + 1e-6, 2))  # half a cent goes up on any engine
+    return prices.savings(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "quantity").withColumn("saving", F.col("saving").cast("decimal(18,2)"))
 
 
 @query(f"""WITH {_SERIES}, a AS (SELECT item AS category, quantile_cont(price, 0.5) AS median, count(*) AS n FROM series WHERE day < DATE '1997-01-01' GROUP BY 1),
@@ -496,14 +504,14 @@ def quarter_pattern_change(spark, folder):
 _SPLIT = f"""{_HEADERS}, r AS (SELECT *, count(*) OVER (PARTITION BY vendor_id) AS nv, row_number() OVER (PARTITION BY vendor_id ORDER BY invoice_date, invoice_id) AS k FROM headers WHERE vendor_id IS NOT NULL AND invoice_date IS NOT NULL AND total_amount > 0),
   s AS (SELECT *, k > least(greatest(CAST(floor(nv * 0.75) AS BIGINT), 6), nv - 1) AS recent, CAST(total_amount AS DOUBLE) AS amount FROM r WHERE nv > 6),
   gaps AS (SELECT *, invoice_date - lag(invoice_date) OVER (PARTITION BY vendor_id, recent ORDER BY invoice_date, invoice_id) AS gap FROM s),
-  base AS (SELECT vendor_id, recent, count(*) AS n, avg(amount) AS m, coalesce(stddev_samp(amount), avg(amount) * 0.2) AS sd, max(amount) AS mx, coalesce(avg(gap), 30.0) AS g, coalesce(stddev_samp(gap), coalesce(avg(gap), 30.0) * 0.3) AS gsd FROM gaps GROUP BY 1, 2)"""
+  base AS (SELECT vendor_id, recent, count(*) AS n, CAST(sum(total_amount) * 100 AS BIGINT) AS cents, avg(amount) AS m, coalesce(stddev_samp(amount), avg(amount) * 0.2) AS sd, max(amount) AS mx, coalesce(avg(gap), 30.0) AS g, coalesce(stddev_samp(gap), coalesce(avg(gap), 30.0) * 0.3) AS gsd FROM gaps GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_SPLIT} SELECT vendor_id, n, round(m + 0.000001::DOUBLE, 4) AS mean_amount, round(sd + 0.000001::DOUBLE, 4) AS std_amount, mx AS max_amount, round(g, 6) AS mean_gap, round(gsd + 0.000001::DOUBLE, 4) AS std_gap FROM base WHERE NOT recent")
+@query(f"WITH {_SPLIT} SELECT vendor_id, n, {_CENTS.format(cents='cents')} AS mean_amount, round(sd, 4) AS std_amount, mx AS max_amount, round(g, 6) AS mean_gap, round(gsd, 4) AS std_gap FROM base WHERE NOT recent")
 def vendor_baseline(spark, folder):
     h = groups.split_history(headers(spark, folder, "vendor_id", "invoice_date", "total_amount"))
     b = groups.baseline(h.where("not recent"))
-    return b.withColumns({c: F.round(F.col(c) + 1e-6, 4) for c in ("mean_amount", "std_amount", "std_gap")})  # ties go up on any engine
+    return b.withColumns({"mean_amount": _whole_cents(), "std_amount": F.round("std_amount", 4), "std_gap": F.round("std_gap", 4)}).drop("cents")
 
 
 @query(f"WITH {_SPLIT}, z AS (SELECT invoice_id, s.vendor_id, CASE WHEN sd > 0 THEN (amount - m) / sd ELSE 0 END AS zscore FROM s JOIN base b ON s.vendor_id = b.vendor_id AND NOT b.recent WHERE s.recent) SELECT invoice_id, vendor_id, round(zscore, 6) AS zscore, CASE WHEN abs(zscore) >= 3 THEN 'severe' ELSE 'warning' END AS level FROM z WHERE abs(zscore) >= 2.5")
@@ -566,11 +574,11 @@ def approval_concentration(spark, folder):
     return groups.top_share(headers(spark, folder, "vendor_id", "approved_by"), "vendor_id", "approved_by", share=0.2).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"""WITH {_HEADERS}, m AS (SELECT vendor_id, avg(CAST(total_amount AS DOUBLE)) AS mean_amount FROM headers WHERE vendor_id IS NOT NULL AND total_amount > 0 GROUP BY 1), r AS (SELECT quantile_cont(mean_amount, 0.75) AS reference FROM m)
-  SELECT vendor_id, round(mean_amount + 0.000001::DOUBLE, 4) AS mean_amount, round(reference + 0.000001::DOUBLE, 4) AS reference FROM m, r WHERE mean_amount > reference * 1.15""")
+@query(f"""WITH {_HEADERS}, m AS (SELECT vendor_id, count(*) AS n, CAST(sum(total_amount) * 100 AS BIGINT) AS cents, sum(total_amount)::DOUBLE / count(*) AS mean_amount FROM headers WHERE vendor_id IS NOT NULL AND total_amount > 0 GROUP BY 1), r AS (SELECT quantile_cont(mean_amount, 0.75) AS reference FROM m)
+  SELECT vendor_id, {_CENTS.format(cents='cents')} AS mean_amount, round(reference, 4) AS reference FROM m, r WHERE mean_amount > reference * 1.15""")
 def overbilling_benchmark(spark, folder):
     got = groups.overbilling(headers(spark, folder, "vendor_id", "total_amount"))
-    return got.withColumns({c: F.round(F.col(c) + 1e-6, 4) for c in ("mean_amount", "reference")})
+    return got.select("vendor_id", _whole_cents().alias("mean_amount"), F.round("reference", 4).alias("reference"))
 
 
 # --- data quality ---------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import warnings
 import weakref
 import zipfile
 from pathlib import Path
@@ -20,7 +21,7 @@ _shipped: set[str] = set()
 
 def build_session(app: str = "ledgersift", cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects of any cluster session."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -31,6 +32,8 @@ def build_session(app: str = "ledgersift", cpus: int | str = "*", partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,8 +74,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone already; the folder is temporary
-        pass
+    except Exception as e:  # the session may be gone already; the folder is temporary
+        warnings.warn(f"{path} was not deleted: {e}", stacklevel=2)
     _written.pop(path, None)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,21 +62,41 @@ def trimmed(df: DataFrame) -> DataFrame:
     return df.select([F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) if kind == "string" else F.col(f"`{c}`").alias(c.strip()) for c, kind in df.dtypes])
 
 
+def _quoted_breaks(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a line of the files has an odd number of quotes: a quoted value goes on in the next line."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    return not lines.where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file or folder, all columns text. Encoding and delimiter come from a bounded sample."""
+    """A delimited file or folder, all columns text. Encoding and delimiter come from a bounded sample.
+
+    Files are split among tasks by lines, unless a quoted value holds a line break: then each file is read by one task.
+    """
     encoding, found = sniff(_head(spark, path, SAMPLE), [delimiter] if delimiter else DELIMITERS)
     spark_name = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
-    reader = spark.read.option("header", True).option("sep", delimiter or found).option("encoding", spark_name).option("multiLine", True).option("escape", '"').option("inferSchema", False)
+    whole = _quoted_breaks(spark, path, spark_name)
+    reader = spark.read.option("header", True).option("sep", delimiter or found).option("encoding", spark_name).option("multiLine", whole).option("escape", '"').option("inferSchema", False)
     df = reader.csv(path)
-    return trimmed(df.toDF(*[c.removeprefix("﻿") for c in df.columns]))
+    return trimmed(df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, an object whose first list of objects is the table, or one object; scalar columns become text."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    """An array of objects, one object a line, an object whose first list of objects is the table, or one object; scalar columns become text.
+
+    The form is told from the start of the file: `[` opens an array, whose objects are the rows as they are; an object that ends on its first line is
+    one of many lines, which tasks share; of any other object the first field, in the order of the file, that is a list of objects is
+    the table.
+    """
+    head = _head(spark, path, SAMPLE).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    text = [x for x in head.splitlines() if x.strip()]
+    lines = head.startswith("{") and len(text) > 1 and text[0].rstrip().endswith("}") and text[1].lstrip().startswith("{")
+    df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
     lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if lists and len(df.columns) <= 3:
-        df = df.select(F.inline(f"`{lists[0]}`"))
+    if lists and head.startswith("{") and not lines:
+        # the schema has the fields in the order of their names
+        at = {c: m.start() for c in lists if (m := re.search(rf'"{re.escape(c)}"\s*:\s*\[', head))}
+        df = df.select(F.inline(f"`{min(lists, key=lambda c: at.get(c, len(head)))}`"))
     return trimmed(df)
 
 
@@ -137,25 +158,27 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new added or put in place of those with the same keys; of repeated keys in new any one row."""
-    fresh = new.dropDuplicates(keys)
+    """old with the rows of new added or put in place of those with the same keys; of repeated keys in new the largest row, so that a repeated run gives the same."""
+    rest = [c for c in new.columns if c not in keys]
+    fresh = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]) if rest else new.distinct()
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def summary_json(df: DataFrame, path: str, most: int = 1000) -> None:
-    """A small report as one JSON file; more than `most` rows are refused."""
-    found = df.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"a summary has at most {most} rows")
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in found], default=str, indent=1), encoding="utf-8")
+def summary_json(df: DataFrame, path: str) -> None:
+    """A report as one JSON file on the driver, a row at a time; write_table is for large results."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, r in enumerate(df.toLocalIterator()):
+            out.write(",\n" if i else "\n")
+            out.write(json.dumps(r.asDict(recursive=True), default=str))
+        out.write("\n]\n")
 
 
-def summary_html(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A small report as a page with one table."""
-    found = df.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"a summary has at most {most} rows")
+def summary_html(df: DataFrame, path: str, title: str) -> None:
+    """A report as a page with one table, written a row at a time."""
     cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
-    head = "".join(cell("th", c) for c in df.columns)
-    body = "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in found)
-    Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>", encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>")
+        for r in df.toLocalIterator():
+            out.write("<tr>" + "".join(cell("td", x) for x in r) + "</tr>\n")
+        out.write("</table>")

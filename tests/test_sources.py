@@ -31,6 +31,22 @@ def test_load_json(spark, tmp_path):
     assert rows(files.load(spark, str(tmp_path / "a.json"))) == [("1", "y"), ("2", None)]
     (tmp_path / "b.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     assert files.load(spark, str(tmp_path / "b.json")).count() == 2
+    # the form of the document decides, not how many fields it has
+    (tmp_path / "d.json").write_text(json.dumps({"n": 1, "to": "x", "day": "y", "zeta": [{"a": 1}, {"a": 2}], "alpha": [{"b": 1}]}))
+    assert rows(files.load(spark, str(tmp_path / "d.json"))) == [("1",), ("2",)]
+    (tmp_path / "e.json").write_text(json.dumps([{"vendor_id": "V1", "rates": [{"r": 1}, {"r": 2}]}]))
+    assert [r.vendor_id for r in files.load(spark, str(tmp_path / "e.json")).collect()] == ["V1"]
+    (tmp_path / "f.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert rows(files.load(spark, str(tmp_path / "f.json"))) == [("1",), ("2",), ("3",)]
+    (tmp_path / "g.json").write_text('{\n "a": 1,\n "b": "x"\n}')
+    assert rows(files.load(spark, str(tmp_path / "g.json"))) == [("1", "x")]
+
+
+def test_line_breaks_in_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines"\n2,one\n')
+    assert rows(files.load(spark, str(tmp_path / "a.csv"))) == [("1", "two\nlines"), ("2", "one")]
+    (tmp_path / "b.csv").write_text('k,v\n1,"a ""quoted"" word"\n2,one\n')
+    assert rows(files.load(spark, str(tmp_path / "b.csv"))) == [("1", 'a "quoted" word'), ("2", "one")]
 
 
 def test_contracts(spark, tmp_path):
@@ -74,13 +90,17 @@ def test_sinks(spark, tmp_path):
     files.summary_json(df, str(tmp_path / "s.json"))
     files.summary_html(df, str(tmp_path / "s.html"), "T")
     assert len(json.loads((tmp_path / "s.json").read_text())) == 2 and "&lt;b&gt;" in (tmp_path / "s.html").read_text()
-    with pytest.raises(ValueError):
-        files.summary_json(df, str(tmp_path / "x"), most=1)
+    files.summary_json(spark.range(1500), str(tmp_path / "long.json"))
+    files.summary_html(spark.range(1500), str(tmp_path / "long.html"), "T")
+    assert len(json.loads((tmp_path / "long.json").read_text())) == 1500 and (tmp_path / "long.html").read_text().count("<tr>") == 1501
+    files.summary_json(df.limit(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
 
 
 def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert rows(files.upsert(old, spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int"), ["k"])) == [("a", 1), ("b", 3), ("c", 4)]
+    assert rows(files.upsert(old, spark.createDataFrame([("b", 3), ("b", 7), ("b", 5)], "k string, v int"), ["k"])) == [("a", 1), ("b", 7)]
 
 
 def test_trimmed(spark):
