@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.session import spread
+
 
 def trailing_totals(rows: DataFrame, entity: str, day: str, amount: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Sum, count and average of amount over the last w days of each entity, for every day from its first to its last.
@@ -14,8 +16,8 @@ def trailing_totals(rows: DataFrame, entity: str, day: str, amount: str, windows
     they mean one thing); other columns are ignored; an empty input gives an empty result.
 
     Rows are first summed by entity and day, with map-side combine, so that however many rows an entity has, it has at most one
-    daily total per calendar day; only these are placed by entity. Exploding each onto the days it
-    influences, the sums by day and the calendar join then all keep that one placement: no further shuffle.
+    daily total per calendar day; only these are placed by entity. Exploding each onto the days it influences and summing by day keep
+    that placement; the join with the calendar places both sides once more, by entity and day, so a busy entity is spread by its days.
     Amounts are held as whole cents, so sums are exact and do not depend on the order of rows.
     """
     longest = max(windows)
@@ -23,8 +25,9 @@ def trailing_totals(rows: DataFrame, entity: str, day: str, amount: str, windows
         rows.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & F.col(amount).isNotNull())
         .groupBy(F.col(entity).alias("entity"), F.col(day).cast("date").alias("d"))
         .agg(F.sum((F.col(amount).cast("decimal(18,2)") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
-        .repartition(F.col("entity"))
     )
+    # the sums are small, what they are exploded into is not: they keep the number of partitions they are given
+    daily = spread(daily, "entity")
     # the last column keeps this branch on the same columns as the other, so that both read one exchange
     ends = daily.groupBy("entity").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.sum(F.col("cents") + F.col("n")).alias("_all")).where("_all is not null")
     offset = F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("lag")
