@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = ["finding_id", "module", "method", "severity", "confidence", "vendor_id", "invoice_id", "amount"]
@@ -37,10 +37,11 @@ def module_dedup(findings: DataFrame, least: float = 0.5) -> DataFrame:
     """findings of at least that confidence; of one invoice and vendor found by two modules or more only the surest, with the list
     of modules. Ties: the smallest finding_id. Findings of one module alone are all kept."""
     gated = findings.where(F.col("confidence") >= least)
-    w = Window.partitionBy("invoice_id", "vendor_id")
-    modules = F.array_sort(F.collect_set("module").over(w))
-    rank = F.row_number().over(w.orderBy(F.col("confidence").desc(), "finding_id"))
-    return gated.withColumns({"modules": modules, "_rank": rank}).where((F.size("modules") < 2) | (F.col("_rank") == 1)).drop("_rank")
+    # one row a key, combined before the shuffle: findings without an invoice, however many, are not gathered into one task
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "finding_id"))["finding_id"].alias("_best")
+    keys = gated.groupBy(F.col("invoice_id").alias("_i"), F.col("vendor_id").alias("_v")).agg(F.array_sort(F.collect_set("module")).alias("modules"), best)
+    joined = gated.join(keys, F.col("invoice_id").eqNullSafe(F.col("_i")) & F.col("vendor_id").eqNullSafe(F.col("_v")))
+    return joined.where((F.size("modules") < 2) | (F.col("finding_id") == F.col("_best"))).drop("_i", "_v", "_best")
 
 
 def rule_chain(findings: DataFrame) -> DataFrame:
@@ -50,8 +51,9 @@ def rule_chain(findings: DataFrame) -> DataFrame:
     yield: a split of a vendor whose only behaviour findings are reviews is suppressed; corroborate: a vendor with three
     modules of confidence .75 or more, not suppressed, has its findings marked with their number.
     """
-    phantom = F.max((F.col("module") == "phantom_services").cast("int")).over(Window.partitionBy("invoice_id")) == 1
-    damped = F.when((F.col("module") == "duplicate_detection") & phantom & F.col("invoice_id").isNotNull(), F.col("confidence") * 0.6).otherwise(F.col("confidence"))
+    doubted = findings.where((F.col("module") == "phantom_services") & F.col("invoice_id").isNotNull()).select("invoice_id").distinct().withColumn("_doubted", F.lit(True))
+    findings = findings.join(doubted, "invoice_id", "left")
+    damped = F.when((F.col("module") == "duplicate_detection") & F.col("_doubted"), F.col("confidence") * 0.6).otherwise(F.col("confidence"))
     out = findings.withColumn("confidence", F.round(damped, 6))
     behaviour = F.col("module") == "vendor_behavior"
     sure = F.when(F.col("confidence") >= 0.75, F.col("module"))
@@ -63,7 +65,7 @@ def rule_chain(findings: DataFrame) -> DataFrame:
     n = F.size("_sure") - F.when(F.col("_yields"), F.coalesce("_split", F.lit(0))).otherwise(0)
     out = out.join(vendor.select("vendor_id", "_yields", n.alias("_n")), "vendor_id", "left")
     out = out.withColumn("suppressed", (F.col("module") == "split_invoicing") & F.coalesce("_yields", F.lit(False)))
-    return out.withColumn("corroborated_by", F.when(~F.col("suppressed") & (F.col("_n") >= 3), F.col("_n")).otherwise(0)).drop("_yields", "_n")
+    return out.withColumn("corroborated_by", F.when(~F.col("suppressed") & (F.col("_n") >= 3), F.col("_n")).otherwise(0)).drop("_yields", "_n", "_doubted")
 
 
 def _weighted(findings: DataFrame) -> Column:

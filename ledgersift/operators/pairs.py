@@ -216,10 +216,14 @@ def related_by_equality(vendors: DataFrame, least: float = 0.6) -> DataFrame:
     a, b = (v.select(*[F.col(c).alias(f"{c}_{s}") for c in ("vendor_id", *full)]) for s in "ab")
     equal = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
     ordered = F.col("vendor_id_a") < F.col("vendor_id_b")
-    support = (F.col("phone_a") == F.col("phone_b")) | (F.col("tax_a") == F.col("tax_b")) | (F.col("contact_a") == F.col("contact_b"))
     by_address = a.join(b, (F.col("address_a") == F.col("address_b")) & (F.col("address_a") != "") & ordered)
-    # four digits of a bank number repeat by chance, so they only count beside another sign
-    by_bank = a.join(b, (F.col("bank_a") == F.col("bank_b")) & ordered & F.coalesce(support | (F.col("address_a") == F.col("address_b")) | (F.size(F.array_intersect("name_a", "name_b")) > 0), F.lit(False)))
+    # four digits of a bank number repeat by chance, so they only count beside another sign, which is part of the key
+    sign = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
+    signs = F.array_compact(F.concat(F.array(*[sign(k, F.col(c)) for k, c in (("p", "phone"), ("t", "tax"), ("c", "contact"), ("a", "address"))]), F.transform("name", lambda w: F.concat(F.lit("n"), w))))
+    keyed = v.where("bank is not null").select("vendor_id", "bank", F.explode(signs).alias("sign"))
+    x, y = (keyed.select("bank", "sign", F.col("vendor_id").alias(f"vendor_id_{s}")) for s in "ab")
+    same = x.join(y, ["bank", "sign"]).where(ordered).select("vendor_id_a", "vendor_id_b").distinct()
+    by_bank = same.join(a, "vendor_id_a").join(b, "vendor_id_b")
     pairs = by_address.unionByName(by_bank)
     name = jaccard(F.col("name_a"), F.col("name_b"))
     score = (
