@@ -38,6 +38,11 @@ def is_weekend(c: Column) -> Column:
     return F.weekday(c) >= 5
 
 
+def is_business_day(c: Column) -> Column:
+    """Monday to Friday."""
+    return F.weekday(c) < 5
+
+
 def quarter_label(c: Column) -> Column:
     return F.concat(F.year(c), F.lit("-Q"), F.quarter(c))
 

@@ -10,20 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal forms at the end of a company name.
-LEGAL_FORMS = "incorporated corporation company limited inc llc ltd corp co lp llp plc gmbh sa ag".split()
+LEGAL_FORMS = ["incorporated", "corporation", "company", "limited", "inc", "llc", "ltd", "corp", "co", "lp", "llp", "plc", "gmbh", "sa", "ag"]
 # Short forms in street addresses.
 STREET_SHORT = {
     "st": "street", "ave": "avenue", "rd": "road", "ste": "suite", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court",
     "pl": "place", "hwy": "highway", "pkwy": "parkway",
 }
 # Words that say nothing about what was bought, units of measure, and kinds of work with a result.
-GENERIC_TERMS = "services service support consulting miscellaneous other fees fee charges charge expenses expense general various sundry professional".split()
-UNIT_WORDS = (
-    "hours hour hrs hr units unit sqft lbs lb kg tons ton gallons gal liters metres meters feet ft yards yd each ea pieces pcs boxes pallets rolls sheets bags".split()
-)
-DELIVERABLE_WORDS = (
-    "report reports installation install delivery delivered repair repairs inspection audit assessment training maintenance deployment commissioning fabrication testing survey".split()
-)
+GENERIC_TERMS = [
+    "services", "service", "support", "consulting", "miscellaneous", "other", "fees", "fee", "charges", "charge", "expenses", "expense", "general", "various", "sundry", "professional",
+]
+UNIT_WORDS = [
+    "hours", "hour", "hrs", "hr", "units", "unit", "sqft", "lbs", "lb", "kg", "tons", "ton", "gallons", "gal", "liters", "metres", "meters", "feet", "ft", "yards", "yd", "each", "ea", "pieces", "pcs",
+    "boxes", "pallets", "rolls", "sheets", "bags",
+]
+DELIVERABLE_WORDS = [
+    "report", "reports", "installation", "install", "delivery", "delivered", "repair", "repairs", "inspection", "audit", "assessment", "training", "maintenance", "deployment", "commissioning",
+    "fabrication", "testing", "survey",
+]
 
 
 @cache
@@ -50,6 +54,11 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
+def exact_match(a: Column, b: Column) -> Column:
+    """Whether two texts are equal once normalised; nulls are empty texts."""
+    return normalize_text(a) == normalize_text(b)
+
+
 def normalize_vendor_name(c: Column) -> Column:
     """normalize_text without legal forms at the end, however many follow each other; a name is never only a legal form."""
     return F.trim(F.regexp_replace(normalize_text(c), r"(?:\s+(?:" + "|".join(LEGAL_FORMS) + r"))+$", ""))

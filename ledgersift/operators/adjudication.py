@@ -93,6 +93,11 @@ def risk_distribution(scores: DataFrame) -> DataFrame:
     return all_.join(scores.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def top_scores(scores: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The n highest scores: a top-k report. Ties: the smallest key."""
+    return scores.orderBy(F.col("score").desc(), key).limit(n)
+
+
 def alert_tier() -> Column:
     """critical, review or informational by severity, confidence and amount."""
     c, a = F.col("confidence"), F.col("amount")

@@ -166,6 +166,21 @@ def near_texts(texts: DataFrame, column: str, least: float = 90, q: int = 3) ->
     return scored.select(F.least("x_a", "x_b").alias("text_a"), F.greatest("x_a", "x_b").alias("text_b"), "ratio")
 
 
+def similar_names(vendors: DataFrame, least: float = 85, merge: float = 90) -> DataFrame:
+    """(vendor_a, vendor_b, ratio, decision) of different vendors whose normalised names have a token sort ratio of at least `least`: `merge` from that
+    ratio on, below it `pending`, for a reviewer.
+
+    Equal names are pairs too (ratio 100). Null and blank names are in no pair; repeated rows count once; other columns are ignored.
+    """
+    v = written(vendors.where("vendor_id is not null").select("vendor_id", normalize_vendor_name(F.col("vendor_name")).alias("name")).where("name <> ''").distinct(), "names")
+    a, b = (v.select(F.col("vendor_id").alias(f"vendor_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
+    equal = a.join(b, (F.col("name_a") == F.col("name_b")) & (F.col("vendor_a") < F.col("vendor_b"))).select("vendor_a", "vendor_b", F.lit(100.0).alias("ratio"))
+    near = near_texts(v, "name", least).join(a, F.col("text_a") == F.col("name_a")).join(b, F.col("text_b") == F.col("name_b")).where(F.col("vendor_a") != F.col("vendor_b"))
+    near = near.select(F.least("vendor_a", "vendor_b").alias("vendor_a"), F.greatest("vendor_a", "vendor_b").alias("vendor_b"), "ratio")
+    both = equal.unionAll(near).groupBy("vendor_a", "vendor_b").agg(F.round(F.max("ratio"), 6).alias("ratio"))
+    return both.withColumn("decision", F.when(F.col("ratio") >= merge, "merge").otherwise("pending"))
+
+
 def _master(vendors: DataFrame) -> DataFrame:
     """The signals of each vendor; fillers (empty, none, n/a, unknown, zeros) are no value."""
     clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "none", "n/a", "na", "unknown", "tbd", "0000", "-") & ~F.trim(c).rlike(r"^[0-]+$"), F.lower(F.trim(c)))

@@ -200,6 +200,14 @@ def pearson_by_user(spark, folder):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), stats.pearson("value", "h").alias("correlation"))
 
 
+@query("""WITH o AS (SELECT o_orderpriority AS k, count(*) FILTER (o_orderstatus = 'F') AS o, count(*) AS e FROM orders GROUP BY 1), s AS (SELECT sum(o)::DOUBLE / sum(e) AS r FROM o)
+  SELECT round(sum(pow(o - e * r, 2) / (e * r)), 6) AS chi2, count(*) - 1 AS dof FROM o, s""")
+def priority_chi_squared(spark, folder):
+    """Whether finished orders have other priorities than all orders."""
+    o = table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("o"), F.count(F.lit(1)).alias("e"))
+    return stats.chi_squared(o.select("o_orderpriority", F.col("o").alias("n")), o.select("o_orderpriority", F.col("e").alias("n")), "o_orderpriority", "n")
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
   s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, e), 6) AS similarity FROM q, v WHERE query_id <> vec_id)
   SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
@@ -220,6 +228,12 @@ def text_normalise(spark, folder):
     return v.select("vendor_id", text.normalize_text(F.col("vendor_name")).alias("text"), text.normalize_vendor_name(F.col("vendor_name")).alias("name"), text.normalize_phone(F.col("phone")).alias("phone"))
 
 
+@query(f"SELECT DISTINCT alias_text, canonical_name, {_norm('alias_text')} = {_norm('canonical_name')} AS same FROM vendor_aliases")
+def alias_exact_match(spark, folder):
+    a = table(spark, folder, "vendor_aliases").select("alias_text", "canonical_name").distinct()
+    return a.withColumn("same", text.exact_match(F.col("alias_text"), F.col("canonical_name")))
+
+
 _EXPAND = "list_transform(list_filter(string_split(regexp_replace(regexp_replace(trim(lower(coalesce(address, ''))), '(\\b(suite|ste\\.?|apt\\.?|unit)|#)\\s*\\w+', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: CASE " + " ".join(f"WHEN w IN ('{s}', '{s}.') THEN '{f}'" for s, f in text.STREET_SHORT.items()) + " ELSE w END)"
 
 
@@ -229,11 +243,11 @@ def address_normalise(spark, folder):
 
 
 @query(rf"""WITH {_HEADERS} SELECT invoice_id, abs(payment_date - invoice_date) AS days, abs((year(payment_date) - year(invoice_date)) * 12 + month(payment_date) - month(invoice_date)) AS months,
-  isodow(invoice_date) >= 6 AS weekend, CAST(year(invoice_date) AS VARCHAR) || '-Q' || quarter(invoice_date) AS quarter, isoyear(invoice_date) || '-W' || lpad(CAST(week(invoice_date) AS VARCHAR), 2, '0') AS week, strftime(invoice_date, '%Y-%m') AS month FROM headers WHERE invoice_date IS NOT NULL""")
+  isodow(invoice_date) >= 6 AS weekend, isodow(invoice_date) < 6 AS business_day, CAST(year(invoice_date) AS VARCHAR) || '-Q' || quarter(invoice_date) AS quarter, isoyear(invoice_date) || '-W' || lpad(CAST(week(invoice_date) AS VARCHAR), 2, '0') AS week, strftime(invoice_date, '%Y-%m') AS month FROM headers WHERE invoice_date IS NOT NULL""")
 def date_periods(spark, folder):
     h = headers(spark, folder, "invoice_date", "payment_date").where("invoice_date is not null")
     a, b = F.col("invoice_date"), F.col("payment_date")
-    return h.select("invoice_id", dates.days_between(a, b).cast("long").alias("days"), dates.months_between(a, b).cast("long").alias("months"), dates.is_weekend(a).alias("weekend"), dates.quarter_label(a).alias("quarter"), dates.period(a, "weekly").alias("week"), dates.period(a, "monthly").alias("month"))
+    return h.select("invoice_id", dates.days_between(a, b).cast("long").alias("days"), dates.months_between(a, b).cast("long").alias("months"), dates.is_weekend(a).alias("weekend"), dates.is_business_day(a).alias("business_day"), dates.quarter_label(a).alias("quarter"), dates.period(a, "weekly").alias("week"), dates.period(a, "monthly").alias("month"))
 
 
 @query("SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders")
@@ -429,6 +443,12 @@ def vendor_relationships(spark, folder):
     return pairs.related_by_equality(vendors(spark, folder))
 
 
+@query()
+def vendor_name_pairs(spark, folder):
+    """Vendors entered twice under similar names, to be merged or to be looked at."""
+    return pairs.similar_names(vendors(spark, folder))
+
+
 @query()
 def related_vendor_pairs(spark, folder):
     """Related vendors by the survey's whole rule, with near addresses and names."""
@@ -686,6 +706,16 @@ def risk_score_vendor(spark, folder):
     return adj.risk_scores(findings(spark, folder), "vendor_id")
 
 
+@query(f"WITH {_FINDINGS}, {_scores('vendor_id')} SELECT * FROM scores ORDER BY score DESC, vendor_id LIMIT 10")
+def top_risk_vendors(spark, folder):
+    return adj.top_scores(adj.risk_scores(findings(spark, folder), "vendor_id"), "vendor_id")
+
+
+@query(f"WITH {_FINDINGS}, {_scores('invoice_id')} SELECT * FROM scores ORDER BY score DESC, invoice_id LIMIT 10")
+def top_risk_invoices(spark, folder):
+    return adj.top_scores(adj.risk_scores(findings(spark, folder), "invoice_id"), "invoice_id")
+
+
 @query(f"WITH {_FINDINGS}, {_scores('invoice_id')} SELECT * FROM scores")
 def risk_score_invoice(spark, folder):
     return adj.risk_scores(findings(spark, folder), "invoice_id")
@@ -757,3 +787,13 @@ def event_windows(spark, folder):
 
     got = windowed_totals(table(spark, folder, "events"), "ts", "event_type", "value", "7 days")
     return got.withColumn("total", F.round("total", 2))
+
+
+@query("""WITH e AS (SELECT user_id, ts, ts > lag(ts) OVER w + INTERVAL 1 DAY AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+  SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 1 DAY AS ends, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, folder):
+    """The batch form of sessions: events of a user with less than a day between them."""
+    from ledgersift.streaming.windows import sessions
+
+    return sessions(table(spark, folder, "events"), "ts", "user_id", "1 day")

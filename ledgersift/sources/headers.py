@@ -17,24 +17,27 @@ FIELDS = {
     "po_number": "string", "payment_date": "date", "payment_status": "string", "project_code": "string", "cost_center": "string", "approved_by": "string", "submission_email": "string",
 }
 REQUIRED = list(FIELDS)[:4]
-# Wordings of headers. A header has a field's wording if it has, for each group of words, one of the group; a
-# single group in square brackets must be the whole header.
+# Words of headers.
+DOCUMENT, SUPPLIER, NUMBER, SUM, DAY = ["inv", "invoice", "bill"], ["vendor", "supplier", "vend", "card", "contact"], ["num", "no", "#", "number"], ["amt", "amount"], ["date", "dt"]
+# Wordings of headers, a list for each field. A header has a wording if it has, for each group of words, one of the group; ONE marks a
+# group that must be the whole header.
+ONE = "the only word"
 WORDINGS = {
-    "payment_date": ["pay/payment/paid/remit date/dt", "date paid", "fully paid", "paiddate"],
-    "payment_status": ["pay/payment status", "[status]", "doc status"],
-    "invoice_number": ["inv/invoice/bill num/no/#/nbr/number/id", "transaction num/no/#/number", "doc num", "[reference]"],
-    "invoice_date": ["inv/invoice/bill/doc date/dt", "[date/dt]"],
-    "vendor_id": ["vendor/supplier/vend/card/contact id/code/num/no/#/account"],
-    "vendor_name": ["vendor/supplier/vend/card/contact name/nm", "[vendor/supplier]"],
-    "unit_price": ["unit price/cost/amt/amount", "[price/rate]"],
-    "total_amount": ["total/net/doc/invoice amount/amt/sum/total", "[amount/amt/total]", "amount/amt usd"],
-    "quantity": ["[qty/quantity/units/count]"],
-    "line_item_description": ["item desc/description", "[desc/description/dscription/detail/details/memo]"],
-    "po_number": ["po num/no/#/number", "purchase order", "num at card", "order number", "[po]"],
-    "project_code": ["project", "[job]"],
-    "cost_center": ["cost center/centre", "[dept/department]"],
-    "approved_by": ["approved/approver/approval"],
-    "submission_email": ["email"],
+    "payment_date": [[["pay", "payment", "paid", "remit"], DAY], [["date"], ["paid"]], [["fully"], ["paid"]], [["paiddate"]]],
+    "payment_status": [[["pay", "payment"], ["status"]], [ONE, ["status"]], [["doc"], ["status"]]],
+    "invoice_number": [[DOCUMENT, [*NUMBER, "nbr", "id"]], [["transaction"], NUMBER], [["doc"], ["num"]], [ONE, ["reference"]]],
+    "invoice_date": [[[*DOCUMENT, "doc"], DAY], [ONE, DAY]],
+    "vendor_id": [[SUPPLIER, ["id", "code", *NUMBER, "account"]]],
+    "vendor_name": [[SUPPLIER, ["name", "nm"]], [ONE, ["vendor", "supplier"]]],
+    "unit_price": [[["unit"], ["price", "cost", *SUM]], [ONE, ["price", "rate"]]],
+    "total_amount": [[["total", "net", "doc", "invoice"], [*SUM, "sum", "total"]], [ONE, [*SUM, "total"]], [SUM, ["usd"]]],
+    "quantity": [[ONE, ["qty", "quantity", "units", "count"]]],
+    "line_item_description": [[["item"], ["desc", "description"]], [ONE, ["desc", "description", "dscription", "detail", "details", "memo"]]],
+    "po_number": [[["po"], NUMBER], [["purchase"], ["order"]], [["num"], ["at"], ["card"]], [["order"], ["number"]], [ONE, ["po"]]],
+    "project_code": [[["project"]], [ONE, ["job"]]],
+    "cost_center": [[["cost"], ["center", "centre"]], [ONE, ["dept", "department"]]],
+    "approved_by": [[["approved", "approver", "approval"]]],
+    "submission_email": [[["email"]]],
 }
 # Export headers of common bookkeeping systems.
 TEMPLATES = {
@@ -54,11 +57,10 @@ def header_words(header: str) -> list[str]:
     return re.findall(r"[a-z0-9]+|#", text.lower())
 
 
-def _fits(words: list[str], wording: str) -> bool:
-    if wording.startswith("["):
-        return len(words) == 1 and words[0] in wording[1:-1].split("/")
-    groups = [g.split("/") for g in wording.split()]
-    return all(any(w in g for w in words) for g in groups)
+def _fits(words: list[str], wording: list) -> bool:
+    if wording[0] == ONE:
+        return len(words) == 1 and words[0] in wording[1]
+    return all(any(w in group for w in words) for group in wording)
 
 
 def map_headers(headers: list[str], sample: list[dict] | None = None) -> dict[str, tuple[str, float]]:

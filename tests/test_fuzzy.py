@@ -60,3 +60,22 @@ def test_outside_scope(spark):
     lines = spark.createDataFrame([("V", "steel beam delivery"), ("V", "catering"), ("W", "x"), (None, "y")], "key string, description string")
     scope = spark.createDataFrame([("V", "Steel beam delivery"), ("V", None)], "key string, entry string")
     assert rows(groups.outside_scope(lines, scope)) == [("V", "catering", 0.0)]
+
+
+def test_similar_names(spark):
+    """Against every pair by the ratio itself; equal names, nulls, blanks and repeated rows."""
+    import random
+
+    from ledgersift.functions.fuzzy import token_sort_ratio_of
+    from ledgersift.operators.pairs import similar_names
+    from tests.conftest import rows
+
+    rng = random.Random(3)
+    base = ["harbor freight supply", "copper river plumbing", "north lake legal partners", "blue mesa concrete works"]
+    names = [(f"V{k:02}", "".join(rng.choice("abcxyz") if rng.random() < 0.07 else c for c in rng.choice(base)) + rng.choice([" LLC", "", " Inc"])) for k in range(40)]
+    names += [("W1", None), ("W2", "  "), ("W3", "Same Name Ltd"), ("W4", "name same"), ("W5", "Same  Name"), ("W5", "Same  Name"), (None, "Same Name")]
+    df = spark.createDataFrame([(*r, 1) for r in names], "vendor_id string, vendor_name string, name int")
+    plain = {v: " ".join(w for w in (n or "").lower().split() if w not in ("llc", "inc", "ltd")) for v, n in names if v}
+    want = {(a, b, round(r, 6), "merge" if r >= 90 else "pending") for a in plain for b in plain if a < b and plain[a] and plain[b] and (r := token_sort_ratio_of(plain[a], plain[b])) >= 85}
+    assert set(rows(similar_names(df))) == want and len(want) > 20
+    assert similar_names(df.limit(0)).count() == 0
