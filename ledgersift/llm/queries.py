@@ -142,4 +142,8 @@ SQL: dict[str, str] = {
       s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT DISTINCT doc_id, i FROM w SEMI JOIN r USING (h))),
       c AS (SELECT doc_id, sum(least(300, coalesce(j - i, 300)))::BIGINT AS shared_chars FROM s GROUP BY 1), n AS (SELECT doc_id, max(length(text)) AS n_chars FROM documents GROUP BY 1)
       SELECT doc_id, shared_chars, n_chars, round(shared_chars::DOUBLE / n_chars, 6) AS shared_ratio FROM c JOIN n USING (doc_id)""",
+    "p7_usage": f"""WITH RECURSIVE {_LINKS}, g AS (SELECT vendor_id, min(other) AS group_id FROM reach GROUP BY 1),
+      i AS (SELECT vendor_id, count(DISTINCT invoice_id) AS n FROM invoices WHERE vendor_id IS NOT NULL GROUP BY 1), a AS (SELECT canonical_vendor_id AS vendor_id, count(DISTINCT alias_text) AS n FROM vendor_aliases WHERE canonical_vendor_id IS NOT NULL GROUP BY 1)
+      SELECT group_id, count(*) AS ids, coalesce(sum(i.n), 0)::BIGINT AS invoices, coalesce(sum(a.n), 0)::BIGINT AS aliases FROM g LEFT JOIN i USING (vendor_id) LEFT JOIN a USING (vendor_id) GROUP BY 1""",
 }
+SQL["p9_clean"] = f"WITH found AS ({SQL['p9_found']}) SELECT doc_id, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM found)"
