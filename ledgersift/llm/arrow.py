@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
@@ -21,3 +23,9 @@ def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if first < len(sizes):
         yield first, len(sizes)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table of texts as part of the plan: no Python worker is started for it."""
+    items = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*items)))

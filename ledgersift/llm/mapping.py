@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgersift.llm import trie
-from ledgersift.llm.arrow import batch
+from ledgersift.llm.arrow import batch, literal_rows
 from ledgersift.llm.strings import abbreviates, deletions, fold, slips
 from ledgersift.llm.trie import build, neighbours
 from ledgersift.session import spread, written
@@ -52,8 +52,14 @@ class _Unpacked(dict):
         return found
 
 
+# the same where there is no stroke, and where all letters are plain
+_NO_STROKE, _ASCII = re.compile(r"[^\W_]+|\""), re.compile(r"[a-z0-9]+|\"")
+
+
 def tokens(text: str) -> list[str]:
-    return [t for t in TOKEN.findall(fold(text)) if t not in FILLERS]
+    text = fold(text)
+    found = (TOKEN if "/" in text else _ASCII if text.isascii() else _NO_STROKE).findall(text)
+    return [t for t in found if t not in FILLERS]
 
 
 def _tokenise(batches):
@@ -325,7 +331,7 @@ def map_values(values: DataFrame, reference: DataFrame, synonyms: DataFrame | No
 
 
 def short_forms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SHORT_FORMS.items()), "short string, long string")
+    return literal_rows(spark, list(SHORT_FORMS.items()), "short", "long")
 
 
 def map_items(lines: DataFrame, items: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgersift.llm.arrow import batch
+from ledgersift.llm.arrow import batch, literal_rows
 from ledgersift.llm.strings import abbreviates, deletions, fold, osa, slips
 from ledgersift.llm.trie import trie_join
 from ledgersift.session import written
@@ -189,7 +189,7 @@ def _verify(batches):
 
 def short_forms(spark: SparkSession) -> DataFrame:
     """(short, long): the built-in table of given names."""
-    return spark.createDataFrame([(s, x) for s, longs in SHORT.items() for x in longs], "short string, long string")
+    return literal_rows(spark, [(s, x) for s, longs in SHORT.items() for x in longs], "short", "long")
 
 
 def resolve_names(names: DataFrame, vendors: DataFrame, aliases: DataFrame, short: DataFrame | None = None) -> DataFrame:

@@ -63,6 +63,15 @@ def test_abbreviates():
     assert abbreviates("svcs", "services") and not abbreviates("do", "digging")
 
 
+@given(st.text(alphabet="ab1É/\"_ .-", max_size=14))
+@settings(max_examples=200)
+def test_tokens(text):
+    from ledgersift.llm.strings import fold
+
+    assert mapping.tokens(text) == [t for t in mapping.TOKEN.findall(fold(text)) if t not in mapping.FILLERS]
+    assert mapping.tokens("O/N c/o 1/2 a/bc 3/4x") == ["o/n", "c/o", "1/2", "bc", "3/4", "x"]
+
+
 def test_repair(spark):
     """The three joins against brute force over all words."""
     rng = random.Random(8)
