@@ -89,7 +89,7 @@ def renegotiation_savings(spark, folder):
     return prices.savings(s, prices.benchmark(s, "item", "vendor", "price"), "item", "vendor", "price", "quantity").withColumn("saving", F.col("saving").cast("decimal(18,2)"))
 
 
-@query(f"""WITH {_SERIES}, a AS (SELECT item AS category, quantile_cont(price, 0.5) AS median, count(*) AS n FROM series WHERE day < DATE '1997-01-01' GROUP BY 1),
+@query(f"""WITH {_SERIES}, a AS (SELECT item AS category, quantile_cont(price, 0.5) AS median, count(*) AS n FROM series GROUP BY 1),
   b AS (SELECT p_type AS category, quantile_cont(p_retailprice, 0.5) AS median, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT p_name, quantile_cont(p_retailprice, 0.5), count(*) FROM part GROUP BY 1)
   SELECT coalesce(a.category, b.category) AS category, round((coalesce(a.median, 0) * coalesce(a.n, 0) + coalesce(b.median, 0) * coalesce(b.n, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) AS median,
   coalesce(a.n, 0) + coalesce(b.n, 0) AS n, CASE WHEN b.category IS NULL THEN 'inside' WHEN a.category IS NULL THEN 'outside' ELSE 'both' END AS source FROM a FULL JOIN b ON a.category = b.category""")
@@ -97,7 +97,7 @@ def benchmark_blend(spark, folder):
     mid = lambda df, c, p: df.groupBy(F.col(c).alias("category")).agg(F.percentile(p, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
     part = table(spark, folder, "part")
     outside = mid(part, "p_type", "p_retailprice").unionByName(mid(part, "p_name", "p_retailprice"))
-    return prices.blend(mid(series(spark, folder).where("day < DATE '1997-01-01'"), "item", "price"), outside)
+    return prices.blend(mid(series(spark, folder), "item", "price"), outside)
 
 
 _ELIGIBLE = """ok AS (SELECT vendor, item FROM series GROUP BY 1, 2 HAVING count(*) >= 4 AND (year(max(day)) - year(min(day))) * 12 + month(max(day)) - month(min(day)) >= 3),
